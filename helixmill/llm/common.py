@@ -46,6 +46,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def row_key(digest: Column) -> Column:
+    """doc_id and a digest of the text as one string, never null, to join decisions back by."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), digest.cast("string"))
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

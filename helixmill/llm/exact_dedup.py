@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, n_partitions, scratch, text_or_empty
+from .common import ascii_lower, materialize, n_partitions, row_key, scratch, text_or_empty
 
 
 def text_digest(col: str = "text") -> Column:
@@ -78,8 +78,8 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, n_batche
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; the text is shuffled once, by doc_id."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct()
-    tagged = docs.withColumn("_sha", text_digest())
-    joined = tagged.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that stay, with all their columns; the text is shuffled once, by doc_id and digest."""
+    kept = exact_duplicates(docs).where("kept").select(row_key(F.col("text_sha256")).alias("_key")).distinct()
+    joined = docs.withColumn("_key", row_key(text_digest())).join(kept, "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # rows that repeat doc_id and text
+    return joined.withColumn("_nth", first).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

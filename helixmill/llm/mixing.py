@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, text_or_empty
+from .common import materialize, row_key, text_or_empty
 
 #: Seeded order is by md5 of "seed:doc_id"; its first three digits make 4096 bins per pattern.
 BIN_DIGITS = 3
@@ -90,7 +90,7 @@ def min_cost_flow(patterns: list[tuple[int, list[int]]], quotas: list[int], laye
     return flow
 
 
-def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(5, 2, 1), limit: int = 3, seed: int = 42) -> DataFrame:
+def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(5, 2, 1), limit: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, sources, size, source_size, target, taken.
 
     ``sources`` is an array of the sources a document belongs to; by default its own source alone.  source_size and
@@ -101,7 +101,7 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(5, 2, 1
     if sources is None:
         sources = F.array(F.col("source").cast("string"))
     rows = docs.select(
-        "doc_id", word_count().alias("size"), sources.alias("sources"), F.monotonically_increasing_id().alias("row"),
+        "doc_id", *keep, word_count().alias("size"), sources.alias("sources"), F.monotonically_increasing_id().alias("row"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
     )
     rows = materialize(rows.withColumn("pattern", F.to_json(F.struct(F.array_sort("sources").alias("s")), {"ignoreNullFields": "false"})), "mix-rows")
@@ -139,4 +139,18 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(5, 2, 1
     filler = small(materialize(filler.select("pattern", F.col("f.row").alias("filler")), "mix-fill"))
     chosen = chosen.join(filler, "pattern", "left")
     taken = F.expr("size * (full + CASE WHEN rest > 0 AND (extra OR coalesce(row = filler, false)) THEN 1 ELSE 0 END)")
-    return chosen.select("doc_id", "sources", "size", "source_size", "target", taken.alias("taken"))
+    return chosen.select("doc_id", *keep, "sources", "size", "source_size", "target", taken.alias("taken"))
+
+
+def repeat_mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mixed documents with all their columns, each as many times as the mix takes it; those not taken go.
+
+    Documents are joined with their plan by doc_id and text; rows that repeat both are equal and share what they take.
+    """
+    key = row_key(F.xxhash64(text_or_empty()))
+    plan = mix_sources(docs.withColumn("_key", key), keep=("_key",), **options)
+    plan = plan.groupBy("_key").agg(F.sum(F.expr("if(size = 0, 0, taken div size)")).alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
+    joined = docs.withColumn("_key", key).join(plan, "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    joined = joined.withColumn("_nth", nth).withColumn("_mine", F.expr("_times div _rows + if(_nth <= _times % _rows, 1, 0)")).where("_mine > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mine").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
