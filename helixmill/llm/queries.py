@@ -10,6 +10,7 @@ from .exact_dedup import exact_duplicates
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .ngram_join import near_duplicates
 from .quality import score_quality, train_quality
 from .toxicity import score_toxicity, train_toxicity
 
@@ -40,12 +41,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return score_toxicity(docs, train_toxicity(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_license_scan, op5_mix, op6_line_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_license_scan, op5_mix, op6_line_dedup, op7_ngram_join, op9_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
