@@ -1,31 +1,51 @@
-"""The corpus pipeline: five operators in a row, each over all that the one before kept."""
+"""The corpus pipeline: five operators in a row, each over all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the digests of the encoded
+texts.  A stage's result is written as Parquet in the shared folder and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixmill.llm.bpe import encode_documents
 from helixmill.llm.common import materialize
 from helixmill.llm.exact_dedup import drop_exact_duplicates
 from helixmill.llm.mixing import repeat_mixed
+from helixmill.llm.ngram_join import drop_near_duplicates
 from helixmill.llm.quality import keep_good, train_quality
+from helixmill.llm.queries import tokenizer_path
 
 
-def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs, train_quality(docs, labels))
 
 
-def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased), the row of the largest doc_id stays."""
     return drop_exact_duplicates(docs)
 
 
-def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of five-word shingle similarity 0.8 or more, the row of the smallest doc_id stays."""
+    return drop_near_duplicates(docs, k=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none to three times."""
     return repeat_mixed(docs)
 
 
-STAGES = [("quality", _quality), ("exact_dedup", _exact_dedup), ("mix", _mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document."""
+    return encode_documents(docs, tokenizer_path())
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
 
-#: Scores of a trained classifier have no SQL.
+#: A trained classifier's scores have no SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

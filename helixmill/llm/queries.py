@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .bpe import encode_documents
 from .exact_dedup import exact_duplicates
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .mpeg import documents_as_media
 from .ngram_join import near_duplicates
 from .quality import score_quality, train_quality
 from .toxicity import score_toxicity, train_toxicity
+from .warc import pages_through_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_through_archives(_table(spark, sf_dir, "pages"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("sources")
 
@@ -45,12 +52,29 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_as_media(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return score_toxicity(docs, train_toxicity(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_license_scan, op5_mix, op6_line_dedup, op7_ngram_join, op9_toxicity)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_exact_dedup, op3_license_scan, op4_warc, op5_mix, op6_line_dedup, op7_ngram_join, op8_mpeg, op9_toxicity, op10_bpe)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
