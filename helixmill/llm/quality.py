@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are built from labelled text, one of good and one of bad documents.  A text is cut into
 pieces and each piece compressed with either; the normalised difference of the summed sizes is the evidence, which a
-logistic curve fitted on other labelled documents turns into a probability.  Pieces keep a dictionary's effect the same
+logistic curve fitted on other labelled documents turns into a probability; the curve also sees how far the text and its most
+repetitive piece compress at all, as neither dictionary tells much about text that only repeats itself.  Pieces keep a dictionary's effect the same
 all through a long text, and bound memory.
 
 Dictionaries and curve are fitted on bounded samples (``max_docs`` documents a class and purpose, chosen by hash).
@@ -13,6 +14,7 @@ labels); conflicting labels of one doc_id count as the larger; repeated rows sco
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, materialize, text_or_empty
 
-PIECE = 2048
+PIECE = 1024
+#: Pieces of fewer bytes say nothing about repetition.
+LEAST = 200
 
 
 @dataclass(frozen=True)
@@ -57,29 +61,33 @@ class Compressors:
                 d.precompute_compress(level=model.level)
             self.pair.append(zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_dict_id=False))
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """(difference per compressed byte, difference in bytes by the root of their number), over all pieces."""
+    def evidence(self, text: str | None) -> tuple[float, float, float, float]:
+        """Difference per compressed byte, difference by the root of their number, log rate, least log rate of a piece."""
         good, bad = self.pair
-        g = b = 0
+        g = b = n = 0
+        least = 0.0
         for p in pieces(text):
-            g += len(good.compress(p))
-            b += len(bad.compress(p))
-        return ((b - g) / (b + g), (b - g) / np.sqrt(b + g)) if g else (0.0, 0.0)
+            x, y = len(good.compress(p)), len(bad.compress(p))
+            g, b, n = g + x, b + y, n + len(p)
+            if len(p) >= LEAST:
+                least = min(least, math.log(min(x, y) / len(p)))
+        return ((b - g) / (b + g), (b - g) / math.sqrt(b + g), math.log(min(g, b) / n), least) if n else (0.0,) * 4
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        return _features(np.array([self.evidence(t) for t in texts], dtype=float).reshape(-1, 2))
+        return _features(np.array([self.evidence(t) for t in texts], dtype=float).reshape(-1, 4))
 
 
 def _features(evidence: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(evidence)), 10 * evidence[:, 0], evidence[:, 1]])
+    return np.column_stack([np.ones(len(evidence)), 10 * evidence[:, 0], evidence[:, 1:]])
 
 
 def fit_curve(evidence: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
     """Weights of the logistic curve, by Newton steps with a small ridge."""
-    x, w = _features(evidence), np.zeros(3)
+    x = _features(evidence)
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3)
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, x.T @ (labels - p) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
@@ -118,24 +126,23 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_
         good, bad = len(chosen[1]), len(chosen[0])
         share = good / (good + bad) if good + bad else 0.5
         share = min(max(share, 0.01), 0.99)
-        return QualityModel(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0), level)
-    model = QualityModel(build_dictionary(chosen[1], dict_bytes, level), build_dictionary(chosen[0], dict_bytes, level), (0.0, 0.0, 0.0), level)
+        return QualityModel(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0), level)
+    model = QualityModel(build_dictionary(chosen[1], dict_bytes, level), build_dictionary(chosen[0], dict_bytes, level), (0.0,) * 5, level)
     rest = labelled(docs, labels, "quality", remainder(3) == 2, max_docs, seed + 1)
 
     def start():
         c = Compressors(model)
 
         def weigh(texts):
-            e = [c.evidence(t) for t in texts]
-            return [[x[0] for x in e], [x[1] for x in e]]
+            return list(zip(*[c.evidence(t) for t in texts])) or [[]] * 4
 
         return weigh
 
-    fit = map_texts(rest.select("label", "text"), start, "per_byte double, per_root double").toPandas()  # 2 * max_docs rows at most
+    fit = map_texts(rest.select("label", "text"), start, "per_byte double, per_root double, rate double, least double").toPandas()  # 2 * max_docs rows at most
     if fit.label.nunique() < 2:
-        return QualityModel(model.good, model.bad, (0.0, 10.0, 1.0), level)
+        return QualityModel(model.good, model.bad, (0.0, 10.0, 1.0, 0.0, 0.0), level)
     # classes are sampled apart: shift the curve back to their shares among all labelled rows
-    weights = fit_curve(fit[["per_byte", "per_root"]].to_numpy(float), fit.label.to_numpy(float))
+    weights = fit_curve(fit[["per_byte", "per_root", "rate", "least"]].to_numpy(float), fit.label.to_numpy(float))
     known = labels.where(F.col("quality").isNotNull() & (remainder(3) == 2)).agg(F.sum(F.col("quality").cast("long")), F.count("*")).first()
     odds, had = np.log(known[0] / max(known[1] - known[0], 1)), np.log(fit.label.sum() / max((1 - fit.label).sum(), 1))
     return QualityModel(model.good, model.bad, (weights[0] + float(odds - had), *weights[1:]), level)
