@@ -1,5 +1,7 @@
-"""Registered queries and their SQL."""
+"""All registered queries: importing the plan modules fills the registry."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from helixmill.plans import structures  # noqa: F401
+from helixmill.plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "sj9_core_residues"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
