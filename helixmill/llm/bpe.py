@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from .common import materialize, n_partitions, text_or_empty
 
 #: White space as the tokenizer's patterns have it (Unicode White_Space).
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 12_000_000
 
 
 def normal(text: str) -> str:
@@ -118,6 +119,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(ids[a : a + 2000], pa.int64()), pa.array([_pack(c) for c in part], pa.binary())], names=["batch", "doc_id", "codes"])
 
     def encode(stream):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         spec = json.loads(shipped.value)
@@ -136,24 +138,33 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     placed = rows.mapInArrow(positions, "batch long, doc_id long, codes binary")
 
     def put(placed: pa.Table, found: pa.Table) -> pa.Table:
-        pieces = _pieces(shipped.value)
-        ids = dict(zip(found.column("code").to_pylist(), found.column("ids").to_pylist()))
-        # an id's row and a piece's row meet here, once for each distinct word of the batch
-        text = {c: " ".join(map(str, i)) for c, i in ids.items()}
-        piece = {c: " ".join([pieces[x] for x in i]) for c, i in ids.items()}
-        count = {c: len(i) for c, i in ids.items()}
+        numbers, pieces = _vocabulary(shipped.value)
+        found = found.combine_chunks()
+        code, lists = found.column("code").to_numpy(), found.column("ids").combine_chunks()
+        starts, flat = lists.offsets.to_numpy()[:-1], lists.values.to_numpy()
+        size = np.diff(lists.offsets.to_numpy())
+        row = np.empty(len(code), np.int64)
+        row[code] = np.arange(len(code))  # codes of a batch are 0..n-1
         counts, hashes, decoded = [], [], []
         for packed in placed.column("codes"):
-            codes = [c for c in _unpack(packed.as_py()).tolist() if count[c]]
-            counts.append(sum([count[c] for c in codes]))
-            hashes.append(hashlib.sha256(" ".join([text[c] for c in codes]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([piece[c] for c in codes]).encode("utf-8", "surrogatepass")).hexdigest())
+            rows = row[_unpack(packed.as_py())]
+            n = size[rows]
+            # ids in the order of the words, then an id's row meets its piece's row
+            at = np.repeat(starts[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
+            ids = flat[at]
+            counts.append(len(ids))
+            hashes.append(hashlib.sha256(" ".join(numbers[ids].tolist()).encode()).hexdigest())
+            decoded.append(hashlib.sha256(" ".join(pieces[ids].tolist()).encode("utf-8", "surrogatepass")).hexdigest())
         return pa.table([placed.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return placed.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(put, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @lru_cache(1)
-def _pieces(spec: str) -> dict[int, str]:
+def _vocabulary(spec: str) -> tuple[np.ndarray, np.ndarray]:
+    """Every id as a number and as its piece."""
     spec = json.loads(spec)
-    return {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    rows = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    pieces = np.full(max(rows) + 1, "", object)
+    pieces[list(rows)] = list(rows.values())
+    return np.array([str(i) for i in range(len(pieces))], object), pieces
