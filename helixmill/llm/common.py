@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 #: ASCII white space, the class every contract here names.
 WS = " \t\n\x0b\x0c\r"
+EDGES_PER_TASK = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,22 +65,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     edges = materialize(edges, "cc")
+    # edges only get fewer: as many tasks as they need now are enough for every round
+    tasks = max(6, edges.count() // EDGES_PER_TASK + 1)
+    keep = lambda df, name: materialize(df.coalesce(tasks), name)
     last = None
     for _ in range(max_rounds):
         # large star: every neighbour above u points at the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "cc-min")
-        edges = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "cc-min")
+        edges = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
         # small star: u and its smaller neighbours point at the smallest of these
-        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+        least = keep(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
         step = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        edges = keep(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now
     roots = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return materialize(roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct()), "cc-out")
+    return keep(roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct()), "cc-out")
 
 
 def map_texts(rows: DataFrame, start, fields: str) -> DataFrame:
