@@ -52,6 +52,17 @@ def row_key(digest: Column) -> Column:
     return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), digest.cast("string"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table doesn't have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

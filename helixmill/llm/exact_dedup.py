@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, n_partitions, row_key, scratch, text_or_empty
+from .common import ascii_lower, materialize, n_partitions, row_key, scratch, text_or_empty, unused
 
 
 def text_digest(col: str = "text") -> Column:
@@ -79,7 +79,8 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, n_batche
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; the text is shuffled once, by doc_id and digest."""
-    kept = exact_duplicates(docs).where("kept").select(row_key(F.col("text_sha256")).alias("_key")).distinct()
-    joined = docs.withColumn("_key", row_key(text_digest())).join(kept, "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # rows that repeat doc_id and text
-    return joined.withColumn("_nth", first).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, nth = unused(docs, "_key", "_nth")
+    kept = exact_duplicates(docs).where("kept").select(row_key(F.col("text_sha256")).alias(key)).distinct()
+    joined = docs.withColumn(key, row_key(text_digest())).join(kept, key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(key))  # rows that repeat doc_id and text
+    return joined.withColumn(nth, first).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

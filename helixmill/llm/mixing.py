@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, row_key, text_or_empty
+from .common import materialize, row_key, text_or_empty, unused
 
 #: Seeded order is by md5 of "seed:doc_id"; its first three digits make 4096 bins per pattern.
 BIN_DIGITS = 3
@@ -147,10 +147,10 @@ def repeat_mixed(docs: DataFrame, **options) -> DataFrame:
 
     Documents are joined with their plan by doc_id and text; rows that repeat both are equal and share what they take.
     """
-    key = row_key(F.xxhash64(text_or_empty()))
-    plan = mix_sources(docs.withColumn("_key", key), keep=("_key",), **options)
-    plan = plan.groupBy("_key").agg(F.sum(F.expr("if(size = 0, 0, taken div size)")).alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
-    joined = docs.withColumn("_key", key).join(plan, "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    joined = joined.withColumn("_nth", nth).withColumn("_mine", F.expr("_times div _rows + if(_nth <= _times % _rows, 1, 0)")).where("_mine > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mine").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, times, rows, nth, mine, copy = unused(docs, "_key", "_times", "_rows", "_nth", "_mine", "_copy")
+    tagged = docs.withColumn(key, row_key(F.xxhash64(text_or_empty())))
+    plan = mix_sources(tagged.select("doc_id", "text", "source", key), keep=(key,), **options)
+    plan = plan.groupBy(key).agg(F.sum(F.expr("if(size = 0, 0, taken div size)")).alias(times), F.count("*").alias(rows)).where(F.col(times) > 0)
+    joined = tagged.join(plan, key).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    joined = joined.withColumn(mine, F.expr(f"{times} div {rows} + if({nth} <= {times} % {rows}, 1, 0)")).where(F.col(mine) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(mine).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
