@@ -1,9 +1,10 @@
 """BPE encoding and decoding by a distinct-word table (operator 10).
 
 Texts are split at white space in batches of a task's documents; a batch keeps each document as positions into its own
-list of distinct words.  Only those lists are shuffled by word: each distinct word of the corpus is encoded once, its ids
-are joined back to the batches, and each batch puts them at the words' positions.  Decoding joins ids with the pieces
-of the vocabulary (one row an id, a fixed size) and sets one blank between them, as the tokenizer without a decoder does.
+list of distinct words.  Only those lists are shuffled: dealt and sorted by word they are the distinct-word table, in which
+each word of the corpus is one run and is encoded once.  Its ids go back to every batch of the run, and each batch puts
+them at the words' positions.  Decoding joins ids with the pieces of the vocabulary (one row an id, a fixed size) and
+sets one blank between them, as the tokenizer without a decoder does.
 
 The tokenizer lower-cases, normalises (NFC) and drops white space, so words are encoded apart; special tokens are cut out
 of the raw text first.  Defined results: a null or empty text has no tokens; repeated rows each give a row; an empty
@@ -22,15 +23,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, n_partitions, text_or_empty
+from .common import n_partitions, text_or_empty
 
 #: White space as the tokenizer's patterns have it (Unicode White_Space).
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-BATCH_CHARS = 12_000_000
+BATCH_CHARS = 28_000_000
+#: Ids travel as numbers of this type; a vocabulary must fit.
+ID = np.uint16
+#: Documents whose positions are packed together.
+PACK = 256
 
 
 def normal(text: str) -> str:
@@ -101,6 +108,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = json.load(f)
+    if max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec["added_tokens"]]]) > np.iinfo(ID).max:
+        raise ValueError("the vocabulary has ids beyond 65535")
     shipped = spark.sparkContext.broadcast(json.dumps(spec))  # the vocabulary file, a fixed size
     rows = docs.select("doc_id", text_or_empty().alias("text"))
 
@@ -112,11 +121,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), number)), pa.array(np.arange(a, a + len(part), dtype=np.int32))], names=["word", "batch", "code"])
 
     def positions(stream):
-        splitter = Splitter(json.loads(shipped.value))
+        splitter, packer = Splitter(json.loads(shipped.value)), zstandard.ZstdCompressor(level=1)
         for number, ids, codes, _ in _batches(stream, splitter):
-            for a in range(0, len(ids), 2000):
-                part = codes[a : a + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(ids[a : a + 2000], pa.int64()), pa.array([_pack(c) for c in part], pa.binary())], names=["batch", "doc_id", "codes"])
+            for a in range(0, len(ids), PACK):
+                part = codes[a : a + PACK]
+                packed = packer.compress(_pack(np.concatenate(part)))
+                row = [[number], [pa.array(ids[a : a + PACK], pa.int64())], [np.array([len(c) for c in part], np.int32)], [packed]]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.list_(pa.int64())), pa.array(row[2], pa.list_(pa.int32())), pa.array(row[3], pa.binary())], names=["batch", "doc_ids", "counts", "codes"])
 
     def encode(stream):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
@@ -126,36 +137,48 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         marks = {" " + t["content"]: t["id"] for t in spec["added_tokens"]}
         bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None}))
         bare.encode_special_tokens = True
+        last, last_ids = None, []
         for batch in stream:
-            words = batch.column("word").to_pylist()
-            ids = [e.ids for e in bare.encode_batch(words, add_special_tokens=False)]
-            ids = [[marks[w]] if w in marks else i for w, i in zip(words, ids)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            runs = pc.run_end_encode(batch.column("word"))
+            words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            fresh = [w for w in words if w != last]
+            ids = [[marks[w]] if w in marks else e.ids for w, e in zip(fresh, bare.encode_batch(fresh, add_special_tokens=False))]
+            ids = [last_ids] * (len(words) - len(fresh)) + ids  # a run may go on from the batch before
+            last, last_ids = words[-1], ids[-1]
+            times = np.diff(ends, prepend=0)
+            flat = np.concatenate([np.array(i * t, ID) for i, t in zip(ids, times.tolist())])
+            sizes = np.repeat([len(i) for i in ids], times) * ID().itemsize
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column("batch"), batch.column("code"), packed], names=["batch", "code", "ids"])
 
     lists = rows.mapInArrow(word_lists, "word string, batch long, code int")
-    table = materialize(lists.select("word").distinct().mapInArrow(encode, "word string, ids array<int>"), "word-table")
-    found = lists.join(table.hint("merge"), "word").select("batch", "code", "ids")
-    placed = rows.mapInArrow(positions, "batch long, doc_id long, codes binary")
+    table = lists.repartition(n_partitions(spark), "word").sortWithinPartitions("word")
+    found = table.mapInArrow(encode, "batch long, code int, ids binary")
+    placed = rows.mapInArrow(positions, "batch long, doc_ids array<bigint>, counts array<int>, codes binary")
 
     def put(placed: pa.Table, found: pa.Table) -> pa.Table:
         numbers, pieces = _vocabulary(shipped.value)
         found = found.combine_chunks()
-        code, lists = found.column("code").to_numpy(), found.column("ids").combine_chunks()
-        starts, flat = lists.offsets.to_numpy()[:-1], lists.values.to_numpy()
-        size = np.diff(lists.offsets.to_numpy())
-        row = np.empty(len(code), np.int64)
-        row[code] = np.arange(len(code))  # codes of a batch are 0..n-1
-        counts, hashes, decoded = [], [], []
-        for packed in placed.column("codes"):
-            rows = row[_unpack(packed.as_py())]
-            n = size[rows]
-            # ids in the order of the words, then an id's row meets its piece's row
-            at = np.repeat(starts[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
-            ids = flat[at]
-            counts.append(len(ids))
-            hashes.append(hashlib.sha256(" ".join(numbers[ids].tolist()).encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join(pieces[ids].tolist()).encode("utf-8", "surrogatepass")).hexdigest())
-        return pa.table([placed.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        lists = pa.concat_arrays(found.column("ids").chunks) if found.num_rows else pa.array([], pa.binary())
+        offsets = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int32)
+        flat = np.frombuffer(lists.buffers()[2], np.uint8)[: offsets[-1]].view(ID) if offsets[-1] else np.empty(0, ID)
+        starts, size = offsets[:-1] // ID().itemsize, np.diff(offsets) // ID().itemsize
+        row = np.empty(len(lists), np.int64)
+        row[found.column("code").to_numpy()] = np.arange(len(lists))  # codes of a batch are 0..n-1
+        packer, doc_ids, counts, hashes, decoded = zstandard.ZstdDecompressor(), [], [], [], []
+        for pack in range(placed.num_rows):
+            codes = _unpack(packer.decompress(placed.column("codes")[pack].as_py()))
+            doc_ids += placed.column("doc_ids")[pack].as_py()
+            for mine in np.split(codes, np.cumsum(placed.column("counts")[pack].as_py())[:-1]):
+                rows = row[mine]
+                n = size[rows]
+                # ids in the order of the words, then an id's row meets its piece's row
+                ids = flat[np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                counts.append(len(ids))
+                hashes.append(hashlib.sha256(" ".join(numbers[ids].tolist()).encode()).hexdigest())
+                decoded.append(hashlib.sha256(" ".join(pieces[ids].tolist()).encode("utf-8", "surrogatepass")).hexdigest())
+        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return placed.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(put, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
