@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ from .common import n_partitions, text_or_empty
 
 #: White space as the tokenizer's patterns have it (Unicode White_Space).
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-BATCH_CHARS = 28_000_000
+BATCH_CHARS = 26_000_000
 #: Ids travel as numbers of this type; a vocabulary must fit.
 ID = np.uint16
 #: Documents whose positions are packed together.
@@ -45,6 +46,18 @@ def normal(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # letter by letter: no final sigma
 
 
+#: ASCII marks that end a word without being part of it; the apostrophe may start a word's last piece.
+MARKS = string.punctuation.replace("'", "")
+
+
+def pieces_of(word: str) -> tuple[str, ...]:
+    """A word and the marks after it: the tokenizer always cuts between a letter or digit and what is neither."""
+    core = word.rstrip(MARKS)
+    if core and core != word and word[0] != " " and (core[-1].isalpha() or core[-1].isdecimal()):
+        return core, word[len(core) :]
+    return (word,)
+
+
 class Splitter:
     """Words of a text.  A special token found in the raw text is a word that starts with a blank, as no other does."""
 
@@ -60,27 +73,45 @@ class Splitter:
         return out
 
 
+class Batch:
+    """Documents as codes into the batch's distinct words, the most frequent first."""
+
+    def __init__(self):
+        self.ids, self.docs, self.code, self.known, self.chars = [], [], {}, {}, 0
+
+    def add(self, doc_id, text: str, words: list[str]) -> None:
+        known, code, out = self.known, self.code, []
+        for w in words:
+            codes = known.get(w)
+            if codes is None:
+                codes = known[w] = tuple([code.setdefault(p, len(code)) for p in pieces_of(w)])
+            out += codes
+        self.ids.append(doc_id)
+        self.docs.append(np.array(out, np.uint32))
+        self.chars += len(text)
+
+    def finish(self) -> tuple[list, list[np.ndarray], list[str]]:
+        order = np.argsort(-np.bincount(np.concatenate(self.docs), minlength=len(self.code)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        names = list(self.code)
+        return self.ids, [rank[d] for d in self.docs], [names[i] for i in order.tolist()]
+
+
 def _batches(stream: Iterator[pa.RecordBatch], splitter: Splitter) -> Iterator[tuple[int, list, list[np.ndarray], list[str]]]:
     """(batch number, doc ids, codes of each document, distinct words), of some BATCH_CHARS characters each.
 
     Numbers and codes depend on the partition's rows alone, so a task that runs again gives the same.
     """
-    base, n = TaskContext.get().partitionId() << 24, 0
-    ids, docs, code, chars = [], [], {}, 0
+    number, now = TaskContext.get().partitionId() << 24, Batch()
     for batch in stream:
-        for doc_id, text in zip(batch.column("doc_id"), batch.column("text").to_pylist()):
-            words = splitter.words(text)
-            for w in words:
-                if w not in code:
-                    code[w] = len(code)
-            ids.append(doc_id)
-            docs.append(np.fromiter((code[w] for w in words), np.uint32, len(words)))
-            chars += len(text)
-            if chars >= BATCH_CHARS:
-                yield base + n, ids, docs, list(code)
-                ids, docs, code, chars, n = [], [], {}, 0, n + 1
-    if ids:
-        yield base + n, ids, docs, list(code)
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            now.add(doc_id, text, splitter.words(text))
+            if now.chars >= BATCH_CHARS:
+                yield number, *now.finish()
+                number, now = number + 1, Batch()
+    if now.ids:
+        yield number, *now.finish()
 
 
 def _pack(codes: np.ndarray) -> bytes:
