@@ -204,10 +204,13 @@ def sq21(spark, d):
 
 # --- alignment: no SQL; the tests compare with a plain dynamic programme --------------------------------------------
 def _pairs(spark, d) -> DataFrame:
-    """Each sequence with the next two of its source."""
-    s = X.sequences(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    a = s.select("source", F.col("doc_id").alias("id_a"), F.col("seq").alias("seq_a"), F.explode(F.array(F.col("n") + 1, F.col("n") + 2)).alias("n"))
-    return a.join(s.select("source", "n", F.col("doc_id").alias("id_b"), F.col("seq").alias("seq_b")), ["source", "n"]).select("id_a", "id_b", F.substring("seq_a", 1, 60).alias("seq_a"), F.substring("seq_b", 1, 60).alias("seq_b"))
+    """Each sequence of the whole texts with the next two of its source."""
+    s = X.whole_sequences(spark, d)
+    before = F.sum("count").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    first = s.groupBy("source", "doc_id").count().select("source", "doc_id", F.coalesce(before, F.lit(0)).alias("before"))
+    s = s.join(first, ["source", "doc_id"]).withColumn("n", F.col("before") + F.col("nth"))
+    a = s.select("source", F.col("id").alias("id_a"), F.col("seq").alias("seq_a"), F.explode(F.array(F.col("n") + 1, F.col("n") + 2)).alias("n"))
+    return a.join(s.select("source", "n", F.col("id").alias("id_b"), F.col("seq").alias("seq_b")), ["source", "n"]).select("id_a", "id_b", "seq_a", "seq_b")
 
 
 @query("sq8_pairwise_alignment")
@@ -229,12 +232,15 @@ def sq10(spark, d):
 
 @query("sq12_transferred_columns")
 def sq12(spark, d):
-    cells = X.alignment_cells(spark, d)
-    columns = cells.groupBy("aln_id", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_idx", "letter"))), lambda p: p["letter"]), "").alias("column"))
-    s = X.sequences(spark, d)
-    first = s.groupBy("source").agg(F.min_by("seq", "doc_id").alias("seq_b"))
-    pairs = s.join(first, "source").select(F.col("doc_id").alias("id_a"), F.col("source").alias("id_b"), F.substring("seq", 1, 40).alias("seq_a"), F.substring("seq_b", 1, 40).alias("seq_b"))
-    return A.transfer_columns(pairs, columns.select(F.col("aln_id").alias("id_b"), (F.col("col") - 1).alias("col"), "column"))
+    """The letters of a source's sequences by column, as counts, moved to each sequence by alignment with the source's first."""
+    s = X.whole_sequences(spark, d)
+    first = s.groupBy("source").agg(F.min_by("seq", F.struct("doc_id", "nth")).alias("seq_b"), F.count("*").alias("n"))
+    cells = s.join(first, "source").select("source", "n", F.posexplode(F.split(F.expr("substr(seq, 1, length(seq_b))"), "")).alias("col", "letter"))
+    counts = cells.groupBy("source", "n", "col", "letter").count()
+    columns = counts.groupBy("source", "col").agg(F.collect_list(F.struct("letter", "count")).alias("letters"), (F.first("n") - F.sum("count")).alias("gaps"))
+    letters = F.concat(F.transform(F.array_sort("letters"), lambda p: F.concat_ws(" ", p["letter"], p["count"])), F.expr("if(gaps > 0, array(concat('- ', gaps)), array())"))
+    pairs = s.join(first, "source").select(F.col("id").alias("id_a"), F.col("source").alias("id_b"), F.col("seq").alias("seq_a"), "seq_b")
+    return A.transfer_columns(pairs, columns.select(F.col("source").alias("id_b"), F.col("col").cast("long").alias("col"), F.array_join(letters, ",").alias("column")))
 
 
 def _chains(spark, d) -> DataFrame:

@@ -105,6 +105,20 @@ SEQUENCES = """
 sequences AS (SELECT * FROM (SELECT doc_id, source, regexp_replace(upper(regexp_replace(substr(text, 1, 120), '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g') AS seq FROM documents) WHERE length(seq) > 0)"""
 
 
+#: Letters of a whole text's sequence; a longer line or sentence gives several.
+LONGEST = 500
+
+
+def whole_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, doc_id, nth, source, seq): all letters of a document that name residues, a sequence for each line or sentence."""
+    d = table(spark, sf_dir, "documents")
+    parts = F.transform(F.split("text", r"\n|(?<=[.!?])\s+"), lambda p: F.translate(F.upper(F.regexp_replace(p, "[^A-Za-z]", "")), "BJOUXZ", ""))
+    divided = lambda p: F.transform(F.sequence(F.lit(1), F.length(p), F.lit(LONGEST)), lambda i: F.substring(p, i, F.lit(LONGEST)))
+    parts = F.flatten(F.transform(F.filter(parts, lambda p: F.length(p) > 0), divided))
+    out = d.select("doc_id", "source", F.posexplode(parts).alias("nth", "seq"))
+    return out.select(F.concat_ws(":", "doc_id", "nth").alias("id"), "doc_id", F.col("nth").cast("long").alias("nth"), "source", "seq")
+
+
 def alignment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(aln_id, seq_idx, col, letter): the sequences of a source as rows of 40 columns."""
     s = sequences(spark, sf_dir).withColumn("seq_idx", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long"))
