@@ -226,8 +226,9 @@ def sq9(spark, d):
 
 @query("sq10_homology_filter")
 def sq10(spark, d):
-    s = X.sequences(spark, d).select(F.col("doc_id").alias("id"), F.substring("seq", 1, 40).alias("seq"))
-    return A.homologous_pairs(s.where("id % 2 = 0"), s.where("id % 2 = 1"), k=5)
+    """All sequences of the whole texts against all, either one as the target."""
+    s = X.whole_sequences(spark, d).select("id", "seq")
+    return A.homologous_pairs(s, s)
 
 
 @query("sq12_transferred_columns")
