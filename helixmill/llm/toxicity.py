@@ -3,7 +3,8 @@
 Features of a whole text: densities of learned toxic words and word beginnings, their number near second-person words,
 capitals, punctuation, digits, repeated characters and obfuscated spellings.  The lexicon is learned from labelled rows.
 Trees and calibration are fitted by Spark ML on bounded samples (``max_docs`` documents a class); the rows of remainder
-1 by 5 calibrate, 2 to 4 train, 0 are held out.  Scoring reads every whole text.
+1 by 5 calibrate, 2 to 4 train, 0 are held out.  Sampled rows weigh as many labelled rows of their class as they stand for,
+so a score means the same at any size.  Scoring reads every whole text.
 
 Defined results: a null text counts as empty and has zero features; a null doc_id is never held out; without labels of both
 classes every score is the share of label 1 (0 without labels); conflicting labels of one doc_id count as the
@@ -104,6 +105,12 @@ class ToxicityModel:
     share: float
 
 
+def class_weights(labels: DataFrame, keep, max_docs: int) -> dict[int, float]:
+    """Labelled rows of a class for each one that a sample of at most max_docs has."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & keep).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    return {y: n / min(n, max_docs) for y, n in known.groupBy("label").count().collect()}
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, trees: int = 20, depth: int = 3, seed: int = 7) -> ToxicityModel:
     part = remainder(5)
     sample = labelled(docs, labels, "toxic", part >= 2, max_docs, seed)
@@ -112,14 +119,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, tre
         return ToxicityModel(Lexicon(frozenset(), frozenset()), None, None, float(bool(n.get(1))))
     lexicon = learn_lexicon(sample)
     rows = with_features(sample, lexicon, "doc_id", "label").toPandas().sort_values("doc_id")  # 2 * max_docs rows at most
-    frame = docs.sparkSession.createDataFrame(rows[["label", "features"]], "label int, features array<double>").select(F.col("label").cast("double"), array_to_vector("features").alias("features")).coalesce(1)
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3).fit(frame)
+    rows["w"] = rows.label.map(class_weights(labels, part >= 2, max_docs))
+    frame = docs.sparkSession.createDataFrame(rows[["label", "features", "w"]], "label int, features array<double>, w double").select(F.col("label").cast("double"), array_to_vector("features").alias("features"), "w").coalesce(1)
+    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3, weightCol="w").fit(frame)
     other = labelled(docs, labels, "toxic", part == 1, max_docs, seed + 1)
-    scored = _raw(with_features(other, lexicon, "doc_id", "label"), fitted).select(F.col("label").cast("double").alias("label"), "raw", F.lit(1.0).alias("w")).toPandas()
+    scored = _raw(with_features(other, lexicon, "doc_id", "label"), fitted).select(F.col("label").cast("double").alias("label"), "raw").toPandas()
     curve = None
     if scored.label.nunique() == 2:
+        scored["w"] = scored.label.map(class_weights(labels, part == 1, max_docs))
         frame = docs.sparkSession.createDataFrame(scored).coalesce(1)
-        curve = IsotonicRegression(featuresCol="raw", labelCol="label").fit(frame)
+        curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="w").fit(frame)
     return ToxicityModel(lexicon, fitted, curve, 0.0)
 
 
