@@ -18,9 +18,11 @@ EDGES_PER_TASK = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local session may do without one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixmill-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -35,7 +37,20 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        delete_path(df.sparkSession, df.scratch_path)
 
 
 def ascii_lower(col: Column | str) -> Column:
@@ -73,6 +88,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps; each round is one shuffle of the edges, written to the shared
     folder.  Self-loops and repeated edges are harmless; an empty table gives an empty result.
     Large nodes need no window or list: a star step is an aggregate followed by a join that may be split.
+    The rounds needed grow with the logarithm of the nodes; RuntimeError where max_rounds don't suffice.
     """
     edges = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     edges = materialize(edges, "cc")
@@ -84,17 +100,48 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every neighbour above u points at the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "cc-min")
-        edges = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
+        large = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
+        discard(edges, least)
         # small star: u and its smaller neighbours point at the smallest of these
-        least = keep(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
-        step = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+        step = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = keep(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        discard(large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return keep(roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct()), "cc-out")
+    out = keep(roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct()), "cc-out")
+    discard(edges)
+    return out
+
+
+#: Words of 64 bits in a KeyFilter: a broadcast of this many rows at most.
+FILTER_WORDS = 1 << 17
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    h = F.xxhash64(key, F.lit(11))
+    bit = F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+    return F.pmod(h, F.lit(FILTER_WORDS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """Adds a boolean: false only where df's key is surely not in keys, a table of one column.
+
+    A bit set of fixed size is broadcast (FILTER_WORDS rows at most, whatever the number of keys): rows that fail it need
+    no shuffle.  With more keys than it has bits it lets all through, which costs time and changes no result.
+    """
+    at, bits, mask = unused(df, "_filter_at", "_filter_bits", "_filter_mask")
+    word, bit = _slot(F.col(f"`{keys.columns[0]}`"))
+    table = materialize(keys.select(word.alias(at), bit.alias(bits)).groupBy(at).agg(F.bit_or(bits).alias(bits)), "filter")
+    word, bit = _slot(F.col(f"`{key}`"))
+    joined = df.withColumns({at: word, mask: bit}).join(F.broadcast(table), at, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(F.col(mask)) != 0, F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias(flag))
 
 
 def map_texts(rows: DataFrame, start, fields: str) -> DataFrame:
