@@ -95,22 +95,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     # edges only get fewer: as many tasks as they need now are enough for every round
     tasks = max(6, edges.count() // EDGES_PER_TASK + 1)
     keep = lambda df, name: materialize(df.coalesce(tasks), name)
-    last = None
     for _ in range(max_rounds):
         # large star: every neighbour above u points at the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "cc-min")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
-        discard(edges, least)
         # small star: u and its smaller neighbours point at the smallest of these
-        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = keep(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
-        discard(large, least)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
+        small = keep(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        discard(edges, large)
+        edges = small
+        # done when every node has one parent and no parent has one
+        ends = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")))
+        open_ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 OR up > 0 AND low = 0")
+        if open_ends.isEmpty():
             break
-        last = now
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
