@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -90,28 +91,36 @@ class Batch:
         self.docs.append(np.array(out, np.uint32))
         self.chars += len(text)
 
-    def finish(self) -> tuple[list, list[np.ndarray], list[str]]:
+    def finish(self, part: int) -> tuple[int, list, list[np.ndarray], list[str]]:
         order = np.argsort(-np.bincount(np.concatenate(self.docs), minlength=len(self.code)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         names = list(self.code)
-        return self.ids, [rank[d] for d in self.docs], [names[i] for i in order.tolist()]
+        docs, words = [rank[d] for d in self.docs], [names[i] for i in order.tolist()]
+        h = xxhash.xxh3_64(repr((part, self.ids)).encode())
+        for d in docs:
+            h.update(d.tobytes())
+            h.update(len(d).to_bytes(4, "little"))
+        for w in words:
+            h.update(w.encode("utf-8", "surrogatepass") + b" ")
+        return h.intdigest() - (1 << 63), self.ids, docs, words
 
 
 def _batches(stream: Iterator[pa.RecordBatch], splitter: Splitter) -> Iterator[tuple[int, list, list[np.ndarray], list[str]]]:
     """(batch number, doc ids, codes of each document, distinct words), of some BATCH_CHARS characters each.
 
-    Numbers and codes depend on the partition's rows alone, so a task that runs again gives the same.
+    Numbers are digests of the partition's number, the batch's doc ids, codes and words.  Two passes over a table give one
+    batch the same number only if they see the same rows in the same order; otherwise the batches don't meet, and ``put`` says so.
     """
-    number, now = TaskContext.get().partitionId() << 24, Batch()
+    part, now = TaskContext.get().partitionId(), Batch()
     for batch in stream:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             now.add(doc_id, text, splitter.words(text))
             if now.chars >= BATCH_CHARS:
-                yield number, *now.finish()
-                number, now = number + 1, Batch()
+                yield now.finish(part)
+                now = Batch()
     if now.ids:
-        yield number, *now.finish()
+        yield now.finish(part)
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -134,8 +143,12 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts)
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, digests: bool = False) -> DataFrame:
+    """One row per document: doc_id, ids, decoded; with digests: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Digests are taken where a document's ids are put together, so that ids and texts need not leave their task.
+    The table is scanned twice and must give the same rows in the same order, as stored tables do; RuntimeError if not.
+    """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -188,7 +201,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     found = table.mapInArrow(encode, "batch long, code int, ids binary")
     placed = rows.mapInArrow(positions, "batch long, doc_ids array<bigint>, counts array<int>, codes binary")
 
+    columns = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+
     def put(placed: pa.Table, found: pa.Table) -> pa.Table:
+        if found.num_rows and not placed.num_rows:
+            raise RuntimeError("rows came in another order in the second scan: store the table first")
         numbers, pieces = _vocabulary(shipped.value)
         found = found.combine_chunks()
         lists = pa.concat_arrays(found.column("ids").chunks) if found.num_rows else pa.array([], pa.binary())
@@ -197,21 +214,40 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         starts, size = offsets[:-1] // ID().itemsize, np.diff(offsets) // ID().itemsize
         row = np.empty(len(lists), np.int64)
         row[found.column("code").to_numpy()] = np.arange(len(lists))  # codes of a batch are 0..n-1
-        packer, doc_ids, counts, hashes, decoded = zstandard.ZstdDecompressor(), [], [], [], []
+        packer, doc_ids, outputs = zstandard.ZstdDecompressor(), [], [[] for _ in columns]
         for pack in range(placed.num_rows):
             codes = _unpack(packer.decompress(placed.column("codes")[pack].as_py()))
+            if len(codes) and codes.max() >= len(lists):
+                raise RuntimeError("rows came in another order in the second scan: store the table first")
             doc_ids += placed.column("doc_ids")[pack].as_py()
             for mine in np.split(codes, np.cumsum(placed.column("counts")[pack].as_py())[:-1]):
                 rows = row[mine]
                 n = size[rows]
                 # ids in the order of the words, then an id's row meets its piece's row
                 ids = flat[np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(" ".join(numbers[ids].tolist()).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join(pieces[ids].tolist()).encode("utf-8", "surrogatepass")).hexdigest())
-        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                text = " ".join(pieces[ids].tolist())
+                row_out = (len(ids), hashlib.sha256(" ".join(numbers[ids].tolist()).encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()) if digests else (ids.astype(np.int32), text)
+                for column, value in zip(outputs, row_out, strict=True):
+                    column.append(value)
+        made = [pa.array(v, t) for v, (_, t) in zip(outputs, columns, strict=True)]
+        return pa.table([pa.array(doc_ids, pa.int64()), *made], names=["doc_id", *[name for name, _ in columns]])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
+    return placed.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(put, schema)
 
-    return placed.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(put, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def decode_ids(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
+    """encoded(row, ids array<int>) -> (row, decoded): ids joined with the pieces of the vocabulary, one blank between them.
+
+    row must be unique.  Null or no ids give an empty text; an id beyond the vocabulary gives nothing.
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        _, pieces = _vocabulary(f.read())
+    table = F.broadcast(encoded.sparkSession.createDataFrame(list(enumerate(pieces.tolist())), "id int, piece string"))  # a row an id
+    spread = encoded.select("row", F.posexplode("ids").alias("at", "id")).join(table, "id")
+    joined = spread.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
+    texts = joined.select("row", F.array_join("pieces.piece", " ").alias("decoded"))
+    return encoded.select("row").join(texts, "row", "left").withColumn("decoded", F.coalesce("decoded", F.lit("")))
 
 
 @lru_cache(1)

@@ -1,7 +1,7 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license templates (operator 3).
 
 DataFrame operations only.  A block is a line.  Templates and blocks are sets of words in one global order, from the
-words that the fewest documents hold.  A block can hold a share t of template T only if it has ceil(t|T|) of its words, so
+words that the fewest documents hold.  A block can hold a share t of template T only if it has ceil(t|T|) of its words, (all of them where it is short), so
 (prefix filter) one of T's first |T| - ceil(t|T|) + 1 words, (length filter) enough template words in all and
 (positional filter) enough words from the shared one on, on both sides.  Survivors are counted exactly.
 
@@ -40,10 +40,19 @@ TEMPLATES = (
 )
 
 
+#: Templates of fewer distinct words than this must be found whole.
+SHORT = 12
+
+
 def words_of(col: Column | str) -> Column:
     return F.filter(F.split(ascii_lower(col), NOT_WORD), lambda w: w != "")
 
 
+def words_needed(words: list[str], threshold: float) -> int:
+    """A notice of few words needs them all: without the name in it, it would match other licenses' notices."""
+    return len(words) if len(words) < SHORT else math.ceil(threshold * len(words) - 1e-9)
+
+
 def template_words(text: str) -> list[str]:
     return sorted({w for w in re.split(NOT_WORD, text.lower()) if w})
 
@@ -70,7 +79,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
     """
     spark = docs.sparkSession
     sets = [(i, label, template_words(text)) for i, (label, text) in enumerate(templates)]
-    need = {i: math.ceil(threshold * len(ws) - 1e-9) for i, _, ws in sets}
+    need = {i: words_needed(ws, threshold) for i, _, ws in sets}
     vocabulary, least = sorted({w for *_, ws in sets for w in ws}), min(need.values())
 
     # One pass over the texts: phrase places, and the template words of each line that has enough of them.

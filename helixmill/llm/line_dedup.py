@@ -1,8 +1,8 @@
 """Line deduplication by levelled sorted runs of line hashes (operator 6).
 
 Every document's lines are hashed once.  Batches of documents are reduced to a row per line hash (number of documents,
-largest doc_id); a batch is merge-anti-joined with the runs to tell new lines from known ones and becomes a run of its
-own on level 0.  Once a level has ``fanout`` runs they are compacted into one run of the next level.  Runs are tables
+largest doc_id) and come from the largest doc_ids down.  A batch is merge-anti-joined with the runs: lines that no run
+holds enter with the doc_id whose copy stays, known ones only add to their line's count.  Both become a run on level 0.  Once a level has ``fanout`` runs they are compacted into one run of the next level.  Runs are tables
 bucketed and sorted by hash, so joins with them and their compaction read them bucket by bucket.
 
 Defined results: a null or empty text is one empty line; a row with null doc_id counts as a document and its copy of a
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, materialize, n_partitions, scratch, text_or_empty
+from .common import WS, ascii_lower, delete_path, discard, materialize, n_partitions, scratch, text_or_empty
 
 RUN = "h1 long, h2 long, n_docs long, max_doc long, is_new boolean"
 
@@ -29,22 +29,27 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout, self.buckets = spark, fanout, buckets or n_partitions(spark)
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch(self.spark, name)
         (df.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
-         .write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name, path=scratch(self.spark, name)))
+         .write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name, path=self.paths[name]))
         return name
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(n) for level in self.levels for n in level]
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """batch(h1, h2, n_docs, max_doc), a row per hash.  Returns its run; is_new marks hashes that no run held before."""
+    def add(self, batch: DataFrame, descending: bool = False) -> DataFrame:
+        """batch(h1, h2, n_docs, max_doc), a row per hash.  Returns its run; is_new marks hashes that no run held before.
+
+        Where batches come in descending order of doc_id only those bring a max_doc; known hashes add to counts alone.
+        """
         rest, old = batch.hint("merge"), []
         for run in self.runs():
             keys = run.select("h1", "h2")
-            old.append(rest.join(keys, ["h1", "h2"], "left_semi").withColumn("is_new", F.lit(False)))
+            old.append(rest.join(keys, ["h1", "h2"], "left_semi").withColumns({"is_new": F.lit(False), "max_doc": F.lit(None).cast("long") if descending else F.col("max_doc")}))
             rest = rest.join(keys, ["h1", "h2"], "left_anti").hint("merge")
         rows = reduce(DataFrame.unionByName, [rest.withColumn("is_new", F.lit(True)), *old])
         self.levels[0].append(self._write(rows))
@@ -60,9 +65,17 @@ class LineRuns:
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(self._write(merged))
-            for name in self.levels[level]:
-                self.spark.sql(f"DROP TABLE {name}")
-            self.levels[level] = []
+            self._drop(level)
+
+    def _drop(self, level: int) -> None:
+        for name in self.levels[level]:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete_path(self.spark, self.paths.pop(name))
+        self.levels[level] = []
+
+    def drop(self) -> None:
+        for level in range(len(self.levels)):
+            self._drop(level)
 
     @staticmethod
     def _summed(runs: list[DataFrame]) -> DataFrame:
@@ -95,14 +108,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     """
     spark = docs.sparkSession
     lines = materialize(line_hashes(docs, min_chars), "lines")
-    batch = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_batches)).cast("int").alias("batch")
+    low, high = lines.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = 1 if low is None else (high - low) // n_batches + 1
+    batch = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(step)), F.lit(n_batches - 1)).cast("int").alias("batch")
     once = lines.select("h1", "h2", "doc_id", "text_hash").distinct()
     stats = once.groupBy(batch, "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
     stats = materialize(stats, "line-stats", "batch")
     runs = LineRuns(spark)
     for b in range(n_batches):
-        runs.add(stats.where(F.col("batch") == b).drop("batch"))
+        runs.add(stats.where(F.col("batch") == b).drop("batch"), descending=True)
+    discard(stats)
     common = materialize(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "common-lines")
+    runs.drop()
     drops = lines.join(common, ["h1", "h2"]).where("NOT doc_id <=> max_doc").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
     drops = drops.select(F.col("doc_id").alias("d_doc"), F.col("text_hash").alias("d_hash"), "drop")
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))

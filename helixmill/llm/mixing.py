@@ -21,6 +21,8 @@ from .common import materialize, row_key, text_or_empty, unused
 #: Seeded order is by md5 of "seed:doc_id"; its first three digits make 4096 bins per pattern.
 BIN_DIGITS = 3
 #: Sums by pattern are broadcast up to so many patterns, and joined by a shuffle beyond.
+#: Only sums by membership pattern reach the driver; more patterns than this are refused.
+MAX_PATTERNS = 200_000
 BROADCAST_PATTERNS = 20_000
 
 
@@ -105,7 +107,9 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(5, 2, 1
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
     )
     rows = materialize(rows.withColumn("pattern", F.to_json(F.struct(F.array_sort("sources").alias("s")), {"ignoreNullFields": "false"})), "mix-rows")
-    sums = rows.groupBy("pattern").agg(F.sum("size").alias("words"), F.any_value("sources").alias("sources")).orderBy("pattern").collect()
+    sums = rows.groupBy("pattern").agg(F.sum("size").alias("words"), F.any_value("sources").alias("sources")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
+    if len(sums) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns: group sources first")
     names = sorted({s for r in sums for s in r.sources}, key=lambda s: (s is None, (s or "").encode()))
     at = {s: i for i, s in enumerate(names)}
     sizes = [sum(r.words for r in sums if s in r.sources) for s in names]

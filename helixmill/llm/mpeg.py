@@ -1,6 +1,7 @@
 """MPEG audio columns: frames, tags, variable-bitrate tables, checksums, exact durations and seek offsets (operator 8).
 
-``parse_mpeg`` walks a stream of MPEG-1/2/2.5 frames of any layer: it skips ID3v2 and ID3v1 tags, resynchronises on the next
+``parse_mpeg`` walks a stream of MPEG-1/2/2.5 frames of any layer: it skips ID3v2 tags and an ID3v1 tag at which the walk
+arrives (the same letters within a frame are data), resynchronises on the next
 pair of consistent headers after damage, reads Xing/Info and VBRI tables, verifies the CRC-16 of protected frames and
 keeps every frame's offset.  ``wrap_mpeg`` stores bytes losslessly as the main data of layer III frames of two bitrates.
 Media are written as a table with their durations and offsets, and all that the query returns is read back from it.
@@ -128,13 +129,17 @@ def parse_mpeg(data: bytes) -> Stream:
             size = size << 7 | b & 0x7F
         out.tags.append(f"id3v2.{data[at + 3]}")
         at += 10 + size + (10 if data[at + 5] & 0x10 else 0)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        out.tags.append("id3v1")
-        end -= 128
+    tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     synced = False
     while at + 4 <= end:
+        if at == tag:
+            out.tags.append("id3v1")
+            at = end
+            break
         h = header_of(data[at : at + 4])
-        if h is None or at + h.size > end or not synced and at + h.size + 4 <= end and header_of(data[at + h.size : at + h.size + 4]) is None:
+        # a frame that ends within what looks like a tag was cut off by it, unless another frame follows
+        cut = h is not None and at < tag < at + h.size < end and header_of(data[at + h.size : at + h.size + 4]) is None
+        if h is None or cut or at + h.size > end or not synced and at + h.size + 4 <= end and header_of(data[at + h.size : at + h.size + 4]) is None:
             at, synced = at + 1, False  # resynchronise: the next header must be followed by another, or by the end
             out.skipped += 1
             continue
@@ -184,7 +189,7 @@ def media_table(docs: DataFrame) -> DataFrame:
             raw = t.encode("utf-8", "surrogatepass")
             media = wrap_mpeg(pad(raw))
             s = parse_mpeg(media)
-            rows.append((len(raw), media, len(s.offsets), s.samples, s.rate, s.samples / s.rate, s.offsets))
+            rows.append((len(raw), media, len(s.offsets), s.samples, s.rate, s.samples / s.rate if s.rate else 0.0, s.offsets))
         return list(zip(*rows)) or [[]] * 7
 
     return map_texts(docs.select("doc_id", text_or_empty().alias("text")), lambda: store, MEDIA)

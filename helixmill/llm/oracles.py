@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from .license_scan import PHRASES, TEMPLATES, template_words
+from .license_scan import PHRASES, TEMPLATES, template_words, words_needed
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -25,6 +23,29 @@ FROM k GROUP BY doc_id
 """
 
 
+ARCHIVES = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
+
+def ngram_join(k: int = 4, percent: int = 85) -> str:
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(1, greatest(len(ws) - {k - 1}, 1) + 1), lambda i: array_to_string(ws[i:i + {k - 1}], ' ')) END) AS sh FROM w),
+u AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * both >= {percent} * (na + nb - both)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(sh) AS n_shingles, component_id FROM s JOIN c USING (doc_id)
+"""
+
+
 def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -35,7 +56,7 @@ def license_scan(threshold: float = 0.8) -> str:
         for n, ws in enumerate(p.split() for p, _ in PHRASES)
     ]
     sets = [(label, template_words(text)) for label, text in TEMPLATES]
-    rows = ", ".join(f"('{label}', {_list(ws)}, {math.ceil(threshold * len(ws) - 1e-9)})" for label, ws in sets)
+    rows = ", ".join(f"('{label}', {_list(ws)}, {words_needed(ws, threshold)})" for label, ws in sets)
     starts = " || ".join(f"p{n}" for n in range(len(PHRASES)))
     base = "[" + ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, (_, label) in enumerate(PHRASES)) + "]"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -96,12 +96,12 @@ def fit_curve(evidence: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, ste
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep, max_docs: int, seed: int) -> DataFrame:
-    """At most max_docs labelled documents a class, the first by hash, of those that ``keep`` admits."""
+    """At most max_docs labelled documents a class, the first by hash, of those that ``keep`` admits; of a repeated doc_id the least text."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
     ids = known.where("label = 1").orderBy(*order).limit(max_docs).unionByName(known.where("label = 0").orderBy(*order).limit(max_docs))
     ids = F.broadcast(materialize(ids, "label-sample"))  # 2 * max_docs rows at most
-    return materialize(docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    return materialize(docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
 
 
 def remainder(mod: int):
@@ -109,7 +109,10 @@ def remainder(mod: int):
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_pieces: int = 4000, dict_bytes: int = 1 << 16, level: int = 3, seed: int = 7) -> QualityModel:
-    """Dictionaries from rows whose crc32 remainder by 3 is 0, the curve from those where it is 2."""
+    """Dictionaries from rows whose crc32 remainder by 3 is 0, the curve from those where it is 2.
+
+    max_docs bounds the documents of a class in either sample, max_pieces the pieces a dictionary is built from.
+    """
     sample = labelled(docs, labels, "quality", remainder(3) == 0, max_docs, seed)
 
     def cut(batches):

@@ -68,7 +68,7 @@ def tokenizer_path() -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
 QUERIES = {
@@ -79,6 +79,8 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
     "op3_license_scan": oracles.license_scan(),
+    "op4_warc": oracles.ARCHIVES,
     "op5_mix": oracles.mixing(),
     "op6_line_dedup": oracles.LINE_DEDUP,
+    "op7_ngram_join": oracles.ngram_join(),
 }

@@ -31,7 +31,8 @@ from .quality import labelled, remainder
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Spellings that hide a word: letters with digits or signs between them, or single letters set apart.
-HIDDEN = re.compile(r"[^\W\d_]+[0-9@$*!|]+[^\W\d_]+|\b(?:[^\W\d_][.\-_* ]){3,}[^\W\d_]\b")
+#: A spelling starts where a run of letters does, so that a long run is looked at once.
+HIDDEN = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$*!|]++[^\W\d_]++|\b(?:[^\W\d_][.\-_* ]){3,}[^\W\d_]\b")
 REPEATED = re.compile(r"(.)\1{3,}")
 LEET = str.maketrans("013457@$!|", "oieastasii")
 
@@ -69,32 +70,57 @@ def learn_lexicon(sample: DataFrame, max_terms: int = 400, min_docs: int = 3, mi
     return Lexicon(frozenset(r[1:] for r in rows if r[0] == "w"), frozenset(r[1:] for r in rows if r[0] == "s"))
 
 
-def dense_features(text: str, lexicon: Lexicon) -> list[float]:
+HIT, STEMMED, YOU, CAPITAL = 1, 2, 4, 8
+PUNCTUATION = ".,;:?!'\"-()*#$%&@"
+
+
+class WordMarks(dict):
+    """What the lexicon says of a word, as bits; each word of a task is looked up once."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        w, lexicon = word.lower(), self.lexicon
+        mark = HIT * (w in lexicon.words) | STEMMED * any(w[:k] in lexicon.stems for k in STEM) | YOU * (w in SECOND_PERSON) | CAPITAL * (len(w) > 1 and word.isupper())
+        self[word] = mark
+        return mark
+
+
+def dense_features(text: str, lexicon: Lexicon, known: WordMarks | None = None) -> list[float]:
     if not text:
         return [0.0] * len(FEATURES)
-    raw = WORD.findall(text)
-    words, n = [w.lower() for w in raw], max(len(raw), 1)
-    hits = [i for i, w in enumerate(words) if w in lexicon.words]
-    stems = sum(any(w[:k] in lexicon.stems for k in STEM) for w in words) if lexicon.stems else 0
-    yous = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    near = 0
-    if hits and yous:
+    known = known if known is not None else WordMarks(lexicon)
+    marks = np.array([known[w] for w in WORD.findall(text)], np.uint8)
+    n = max(len(marks), 1)
+    hits, yous = np.flatnonzero(marks & HIT), np.flatnonzero(marks & YOU)
+    stems, near = int(np.count_nonzero(marks & STEMMED)), 0
+    if len(hits) and len(yous):
         at = np.searchsorted(yous, hits)
-        near = sum(min(abs(yous[min(a, len(yous) - 1)] - h), abs(yous[max(a - 1, 0)] - h)) <= 5 for a, h in zip(at, hits))
+        after, before = yous[np.minimum(at, len(yous) - 1)], yous[np.maximum(at - 1, 0)]
+        near = int((np.minimum(abs(after - hits), abs(before - hits)) <= 5).sum())
     hidden = HIDDEN.findall(text)
     told = sum(re.sub(r"[^a-z]", "", h.lower().translate(LEET)) in lexicon.words for h in hidden)
-    c = len(text)
+    c, count = len(text), Counter(text)
     return [
         1000 * len(hits) / n, float(len(hits)), 1000 * stems / n, float(stems), 1000 * near / n, 1000 * len(yous) / n, 1000 * len(hidden) / n, float(told),
-        sum(map(str.isupper, text)) / c, sum(w.isupper() and len(w) > 1 for w in raw) / n, text.count("!") / c, sum(text.count(x) for x in ".,;:?!'\"-()*#$%&@") / c,
-        sum(map(str.isdigit, text)) / c, 1000 * len(REPEATED.findall(text)) / c, math.log1p(len(raw)),
+        sum(k for x, k in count.items() if x.isupper()) / c, int(np.count_nonzero(marks & CAPITAL)) / n, count["!"] / c, sum(count[x] for x in PUNCTUATION) / c,
+        sum(k for x, k in count.items() if x.isdigit()) / c, 1000 * len(REPEATED.findall(text)) / c, math.log1p(len(marks)),
     ]
 
 
 def with_features(docs: DataFrame, lexicon: Lexicon, *more: str) -> DataFrame:
     """The columns named, and features array<double>."""
     rows = docs.select(*more, text_or_empty().alias("text"))
-    return map_texts(rows, lambda: lambda texts: [[dense_features(t, lexicon) for t in texts]], "features array<double>")
+
+    def start():
+        known = WordMarks(lexicon)
+        return lambda texts: [[dense_features(t, lexicon, known) for t in texts]]
+
+    return map_texts(rows, start, "features array<double>")
 
 
 @dataclass(frozen=True)
