@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.lineage import settle
 
-MAX_DEPTH = 7
+MAX_DEPTH = 32
 
 
 def closure(nodes: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(ancestor, node_id, steps), each node being its own ancestor at 0 steps.  One join a level, until a level is empty."""
+    """(ancestor, node_id, steps), each node being its own ancestor at 0 steps.  One join a level, until a level is empty.
+
+    A tree of more than depth levels, or a cycle, is a ValueError: no ancestor is lost silently.
+    """
     step = nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("child"), "parent_id")
     now = nodes.select(F.col("node_id").alias("ancestor"), "node_id", F.lit(0).alias("steps"))
     levels = [now]
-    for k in range(1, depth):
+    for k in range(1, depth + 1):
         now = settle(now.join(step, F.col("ancestor") == F.col("child")).select(F.col("parent_id").alias("ancestor"), "node_id", F.lit(k).alias("steps")))
         if now.isEmpty():
             break
+        if k == depth:
+            raise ValueError(f"the tree has more than {depth} levels")
         levels.append(now)
     return reduce(DataFrame.unionByName, levels)
 

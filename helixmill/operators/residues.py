@@ -134,28 +134,30 @@ def scaled_feature(atoms: DataFrame, feature: str) -> DataFrame:
     return means.withColumn("scaled", F.when(high > low, (F.col("mean") - low) / (high - low)).otherwise(0.0))
 
 
+#: Class, residue (* for any other) and its heavy atoms.
+ATOM_CLASSES = """
+backbone * C CA N O
+apolar * CB SG SD CH CH1 CH2 CH3 CG CG1 CG2 CD CD1 CD2 CE CE1 CE2 CE3 CZ CZ1 CZ2 CZ3
+polar * OG OG1 OG2 OH
+plus * NZ NH1 NH2
+plus ARG CD CD1 CD2 NE NE1 NE2 OE1 OE2 CZ CZ1 CZ2 CZ3
+polar ASN CG CG1 CG2 OD1 OD2 ND1 ND2
+minus ASP CG CG1 CG2 OD1 OD2 ND1 ND2
+polar GLN CD CD1 CD2 OE1 OE2 NE NE1 NE2
+minus GLU CD CD1 CD2 OE1 OE2 NE NE1 NE2
+polar HIS OD1 OD2 ND1 ND2
+plus HIS CD CD1 CD2 CE CE1 CE2 CE3 OE1 OE2 NE NE1 NE2
+plus LYS CE CE1 CE2 CE3
+polar TRP OE1 OE2 NE NE1 NE2
+"""
+
+
 def atom_class(atom: Column, res: Column) -> Column:
     """apolar, polar, minus, plus or backbone of a heavy atom; null where none is defined."""
-    by_res = lambda other, **named: _cases(res, named, other)
-    return (
-        F.when(atom.isin("C", "CA", "N", "O"), "backbone")
-        .when(atom.isin("CB", "SG", "SD", "CH", "CH1", "CH2", "CH3"), "apolar")
-        .when(atom.isin("CG", "CG1", "CG2"), by_res("apolar", ASP="minus", ASN="polar"))
-        .when(atom.isin("OG", "OG1", "OG2", "OH"), "polar")
-        .when(atom.isin("CD", "CD1", "CD2"), by_res("apolar", GLU="minus", ARG="plus", HIS="plus", GLN="polar"))
-        .when(atom.isin("OD1", "OD2", "ND1", "ND2"), by_res(None, ASP="minus", ASN="polar", HIS="polar"))
-        .when(atom.isin("CE", "CE1", "CE2", "CE3"), by_res("apolar", LYS="plus", HIS="plus"))
-        .when(atom.isin("OE1", "OE2", "NE", "NE1", "NE2"), by_res(None, GLU="minus", ARG="plus", HIS="plus", GLN="polar", TRP="polar"))
-        .when(atom.isin("CZ", "CZ1", "CZ2", "CZ3"), by_res("apolar", ARG="plus"))
-        .when(atom.isin("NZ", "NH1", "NH2"), "plus")
-    )
-
-
-def _cases(key: Column, named: dict[str, str], other: str | None) -> Column:
-    out = F.lit(other).cast("string")
-    for name, value in named.items():
-        out = F.when(key == name, value).otherwise(out)
-    return out
+    rows = [line.split() for line in ATOM_CLASSES.strip().splitlines()]
+    known = F.create_map(*[F.lit(v) for kind, of, *atoms in rows for a in atoms for v in (f"{of} {a}", kind)])
+    key = lambda of: F.concat_ws(" ", of, atom)
+    return F.coalesce(F.try_element_at(known, key(res)), F.try_element_at(known, key(F.lit("*"))))
 
 
 def atom_classes(atoms: DataFrame) -> DataFrame:
@@ -167,13 +169,24 @@ def atom_classes(atoms: DataFrame) -> DataFrame:
     return heavy.select("structure_id", "atom_number", "class").unionByName(light.select("structure_id", "atom_number", "class"))
 
 
-def secondary_from_records(residues: DataFrame, records: DataFrame) -> DataFrame:
-    """A (helix) or B (strand) where first_res <= res_index < last_res, the later record winning; else C."""
+def secondary_from_records(residues: DataFrame, records: DataFrame, number: str = "res_index") -> DataFrame:
+    """A (helix) or B (strand) where first_res <= number < last_res, the later record winning; else C.
+
+    Records of files name residue numbers: pass the column that holds them.  Chains without any record get
+    nothing of this, use ``secondary_structure`` for them.
+    """
     r, s = residues.alias("r"), records.alias("s")
-    hit = r.join(s, (F.col("r.structure_id") == F.col("s.structure_id")) & (F.col("r.chain_id") == F.col("s.chain_id")) & F.expr("r.res_index >= s.first_res AND r.res_index < s.last_res"), "left")
+    hit = r.join(s, (F.col("r.structure_id") == F.col("s.structure_id")) & (F.col("r.chain_id") == F.col("s.chain_id")) & F.expr(f"r.{number} >= s.first_res AND r.{number} < s.last_res"), "left")
     return hit.groupBy("r.structure_id", "r.chain_id", "r.res_index").agg(F.coalesce(F.max_by("s.kind", "s.line_no"), F.lit("C")).alias("ss"))
 
 
+def secondary_structure(residues: DataFrame, records: DataFrame, number: str = "res_number") -> DataFrame:
+    """(structure_id, chain_id, res_index, ss): from the records of a structure, or from distances where it has none."""
+    ids = records.select("structure_id").distinct()
+    told = secondary_from_records(residues.join(ids, "structure_id", "left_semi"), records, number)
+    return told.unionByName(secondary_from_distances(residues.join(ids, "structure_id", "left_anti")).select("structure_id", "chain_id", "res_index", "ss"))
+
+
 def _between(a: int, b: int) -> Column:
     w = in_chain()
     at = lambda c, k: F.lag(c, -k).over(w) if k else F.col(c)

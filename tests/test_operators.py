@@ -169,3 +169,65 @@ def test_spectrum_lines(spark):
 def test_closure_of_an_empty_tree(spark):
     empty = spark.createDataFrame([], "node_id long, parent_id long, level long, description string")
     assert classify.lineage(empty).count() == 0 and classify.keyword_hits(empty, ["a"]).count() == 0
+
+
+def test_points_by_brute_force(spark):
+    """Points of atoms over several cells, with text ids, against a scalar count by the definition."""
+    import math
+    import random
+
+    from helixmill.functions.lookups import RADIUS
+    from helixmill.operators import surface
+
+    r = random.Random(5)
+    names = ["N", "CA", "C", "O", "CB"]
+    atoms = [("1abc", "AB"[k // 40], k % 40 // 5, k, names[k % 5], r.uniform(0, 24), r.uniform(0, 9), r.uniform(0, 9)) for k in range(80)]
+    df = spark.createDataFrame(atoms, "structure_id string, chain_id string, res_index long, atom_number long, atom_type string, x double, y double, z double")
+    got = {g.atom_number: (g.counted, g.blocked_chain, g.blocked_all, g.dots) for g in surface.sphere_points(df, n_points=60).collect()}
+    unit, radius = surface.sphere(60), {a[3]: RADIUS[a[4][0]] + 1.4 for a in atoms}
+    for a in atoms:
+        counted = chain = every = dots = 0
+        for u in unit:
+            at = [a[5 + n] + radius[a[3]] * u[n] for n in range(3)]
+            cover = [b for b in atoms if b[3] != a[3] and math.dist(at, b[5:]) < radius[b[3]]]
+            bonded = [b for b in cover if b[1] == a[1] and (b[2] == a[2] or (a[4], b[4], b[2] - a[2]) in (("C", "N", 1), ("N", "C", -1)))]
+            other = [b for b in cover if b not in bonded]
+            dots += not cover
+            if not bonded:
+                counted += 1
+                every += bool(other)
+                chain += any(b[1] == a[1] for b in other)
+        assert got[a[3]] == (counted, chain, every, dots)
+    lone = surface.accessibility(surface.sphere_points(df.where("chain_id = 'A' AND res_index = 0"), n_points=60)).first()
+    assert lone.asa == 1.0 and surface.sphere_points(df.where("false")).count() == 0
+
+
+def test_interface_report_reads_significance(spark):
+    from helixmill.operators import surface
+    from helixmill.sources import files
+
+    rows = [("1abc", "A", i, 0.5, -1 if i < 3 else 0, float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "structure_id string, chain_id string, res_index long, asa double, interface long, score double")
+    got = surface.interface_significance(df, ["score"], draws=500).collect()
+    assert [(g.structure_id, g.k, g.mean) for g in got] == [("1abc", 3, 1.0)] and got[0].percent < 5
+    assert files.interface_report(surface.interface_significance(df, ["score"], draws=500)).count() == 1
+
+
+def test_secondary_structure_by_number(spark):
+    from helixmill.operators import residues
+
+    res = spark.createDataFrame([("s", "A", i, i + 1) for i in range(6)], "structure_id string, chain_id string, res_index long, res_number long")
+    rec = spark.createDataFrame([("s", "A", 2, 4, "A", 1)], "structure_id string, chain_id string, first_res long, last_res long, kind string, line_no long")
+    got = residues.secondary_from_records(res, rec, "res_number").orderBy("res_index").collect()
+    assert [g.ss for g in got] == ["C", "A", "A", "C", "C", "C"]
+
+
+def test_deep_trees(spark):
+    import pytest
+
+    from helixmill.operators import classify
+
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, i, f"n{i}") for i in range(9)], "node_id long, parent_id long, level long, description string")
+    assert classify.closure(nodes).where("node_id = 8").count() == 9
+    with pytest.raises(ValueError, match="levels"):
+        classify.closure(nodes, depth=4)
