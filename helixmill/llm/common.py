@@ -98,13 +98,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every neighbour above u points at the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
+        # (written, so that the join with a large node's edges stands alone and can be split)
+        lowest = keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "cc-min")
+        large = keep(both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
         # small star: u and its smaller neighbours point at the smallest of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
         step = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = keep(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
-        discard(edges, large)
+        discard(edges, large, lowest, least)
         edges = small
         # done when every node has one parent and no parent has one
         ends = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")))
