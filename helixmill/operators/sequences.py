@@ -45,10 +45,11 @@ def fragments(sequences: DataFrame, misses: int = 1, protease: str = "trypsin",
     d = sequences.select("doc_id", "seq", cut_sites(F.col("seq"), protease, cut_after).alias("sites"))
     steps = F.transform(letters(F.col("seq")), lambda c: F.coalesce(lookup(RESIDUE_MASS, c), F.lit(0.0)))
     d = d.withColumn("masses", steps)
-    pairs = F.flatten(F.transform("sites", lambda s, i: F.transform(F.slice("sites", i + 2, F.lit(misses)), lambda t, k: F.struct(s.alias("first"), t.alias("last"), k.alias("n_missed")))))
-    d = d.select("doc_id", "masses", F.explode(pairs).alias("p"))
-    weight = F.aggregate(F.slice("masses", F.col("p.first") + 1, F.col("p.last") - F.col("p.first")), F.lit(WATER_MASS), lambda a, m: a + m)
-    return d.select("doc_id", F.col("p.first").cast("long").alias("first"), F.col("p.last").cast("long").alias("last"), F.col("p.n_missed").cast("long").alias("n_missed"), weight.alias("weight"))
+    # weights go into the pairs before these become rows, which then carry no array of masses
+    weight = lambda s, t: F.aggregate(F.slice("masses", s + 1, t - s), F.lit(WATER_MASS), lambda a, m: a + m)
+    pairs = F.flatten(F.transform("sites", lambda s, i: F.transform(F.slice("sites", i + 2, F.lit(misses)), lambda t, k: F.struct(s.alias("first"), t.alias("last"), k.alias("n_missed"), weight(s, t).alias("weight")))))
+    d = d.select("doc_id", F.explode(pairs).alias("p"))
+    return d.select("doc_id", F.col("p.first").cast("long").alias("first"), F.col("p.last").cast("long").alias("last"), F.col("p.n_missed").cast("long").alias("n_missed"), F.col("p.weight").alias("weight"))
 
 
 def within_mass(left: DataFrame, right: DataFrame, tolerance: float, left_mass: str = "weight", right_mass: str = "mass") -> DataFrame:
@@ -113,12 +114,12 @@ def score_table(spark, scores: dict[str, float] | None = None) -> DataFrame:
 
 
 def column_conservation(cells: DataFrame, scores: dict[str, float] | None = None) -> DataFrame:
-    """Mean score over all pairs of sequences of a column, from letter counts; pairs without a score count 6/15."""
+    """Mean score over all pairs of sequences of a column, from letter counts; pairs without a score count 6/15; a column of one sequence has none."""
     n = cells.groupBy("aln_id", "col", "letter").agg(F.count("*").alias("n"))
     pair = n.select("aln_id", "col", F.col("letter").alias("la"), F.col("n").alias("na")).join(n.select("aln_id", "col", F.col("letter").alias("lb"), F.col("n").alias("nb")), ["aln_id", "col"]).where("la <= lb")
     pair = pair.join(F.broadcast(score_table(cells.sparkSession, scores)), ["la", "lb"], "left")  # a row per pair of letters
     times = F.when(F.col("la") == F.col("lb"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
-    return pair.groupBy("aln_id", "col").agg((F.sum(times * F.coalesce("s", F.lit(UNKNOWN))) / F.sum(times)).alias("score"))
+    return pair.where(times > 0).groupBy("aln_id", "col").agg((F.sum(times * F.coalesce("s", F.lit(UNKNOWN))) / F.sum(times)).alias("score"))
 
 
 def normalized(residues: DataFrame, score: str, least: float = 0.05, skip: Column | None = None) -> DataFrame:

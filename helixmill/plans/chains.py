@@ -62,10 +62,9 @@ def sq2(spark, d):
     return rounded(_frags(spark, d), "weight", digits=2)
 
 
-@query("sq3_fragments_within", FRAGS + "," + X.MASSES, "SELECT doc_id, first, last, fragment_id FROM frags, masses WHERE fragment_id % 40 = 0 AND abs(weight - mass) <= 0.4")
+@query("sq3_fragments_within", FRAGS + "," + X.MASSES, "SELECT doc_id, first, last, fragment_id FROM frags, masses WHERE abs(round(weight, 2) - mass) <= 0.405")
 def sq3(spark, d):
-    q = X.expected_masses(spark, d).where("fragment_id % 40 = 0")
-    return Q.within_mass(_frags(spark, d), q, 0.4).select("doc_id", "first", "last", "fragment_id")
+    return Q.within_mass(rounded(_frags(spark, d), "weight", digits=2), X.expected_masses(spark, d), 0.405).select("doc_id", "first", "last", "fragment_id")
 
 
 @query("sq4_nearest_fragments", FRAGS, "SELECT doc_id, mass, nth, first, last FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, mass ORDER BY abs(round(weight, 2) - mass), first, last) AS nth FROM frags, (VALUES (600.0::DOUBLE), (1500.0::DOUBLE)) v(mass)) WHERE nth <= 3")
@@ -99,9 +98,9 @@ def sq7(spark, d):
 , q AS (SELECT aln_id, col, letter, row_number() OVER (PARTITION BY aln_id ORDER BY col) - 1 AS res_index FROM cells WHERE seq_idx = 1 AND letter <> '-'),
 w AS (SELECT aln_id, string_agg(letter, '' ORDER BY col) AS seq FROM q GROUP BY aln_id),
 c AS (SELECT aln_id, col, string_agg(CASE WHEN regexp_full_match(letter, '[ACDEFGHIKLMNPQRSTVWY]') THEN letter ELSE '-' END, '' ORDER BY seq_idx) AS "column" FROM cells GROUP BY ALL)
-SELECT s.doc_id, q.aln_id, q.res_index, c."column" FROM (SELECT doc_id, substr(seq, 1, 40) AS seq FROM sequences) s JOIN w USING (seq) JOIN q ON q.aln_id = w.aln_id JOIN c ON c.aln_id = q.aln_id AND c.col = q.col""")
+SELECT s.doc_id, q.aln_id, q.res_index, c."column" FROM sequences s JOIN w USING (seq) JOIN q ON q.aln_id = w.aln_id JOIN c ON c.aln_id = q.aln_id AND c.col = q.col""")
 def sq11(spark, d):
-    chains = X.sequences(spark, d).select("doc_id", F.substring("seq", 1, 40).alias("seq"))
+    chains = X.sequences(spark, d).select("doc_id", "seq")
     return Q.map_columns(X.alignment_cells(spark, d), chains)
 
 

@@ -168,13 +168,12 @@ def sp18m(spark, d):
 
 
 @query("sp19_calibration_clusters", PEAKS + MS, """
-, few AS (SELECT * FROM masses WHERE fragment_id % 20 = 0),
-f AS (SELECT DISTINCT spectrum_id, off AS try FROM (SELECT p.spectrum_id, m.mass - p.x AS off, row_number() OVER (PARTITION BY p.spectrum_id, p.idx ORDER BY abs(p.x - m.mass), m.fragment_id) AS k FROM peaks p JOIN few m ON abs(p.x - m.mass) < 0.0015 * m.mass WHERE p.y >= 1) WHERE k = 1),
-g AS (SELECT spectrum_id, try, idx, x, mass FROM (SELECT p.spectrum_id, f.try, p.idx, p.x, m.mass, row_number() OVER (PARTITION BY p.spectrum_id, f.try, p.idx ORDER BY abs(p.x + f.try - m.mass), m.fragment_id) AS k FROM peaks p JOIN f ON p.spectrum_id = f.spectrum_id JOIN few m ON abs(p.x + f.try - m.mass) < 0.0002 * m.mass WHERE p.y >= 1) WHERE k = 1),
+, f AS (SELECT DISTINCT spectrum_id, off AS try FROM (SELECT p.spectrum_id, m.mass - p.x AS off, row_number() OVER (PARTITION BY p.spectrum_id, p.idx ORDER BY abs(p.x - m.mass), m.fragment_id) AS k FROM peaks p JOIN masses m ON abs(p.x - m.mass) < 0.0015 * m.mass WHERE p.y >= 1) WHERE k = 1),
+g AS (SELECT spectrum_id, try, idx, x, mass FROM (SELECT p.spectrum_id, f.try, p.idx, p.x, m.mass, row_number() OVER (PARTITION BY p.spectrum_id, f.try, p.idx ORDER BY abs(p.x + f.try - m.mass), m.fragment_id) AS k FROM peaks p JOIN f ON p.spectrum_id = f.spectrum_id JOIN masses m ON abs(p.x + f.try - m.mass) < 0.0002 * m.mass WHERE p.y >= 1) WHERE k = 1),
 n AS (SELECT spectrum_id, try, count(*) AS n, avg(mass - x) AS shift FROM g GROUP BY ALL)
 SELECT spectrum_id, round(shift, 4) AS shift, n FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY n DESC, abs(try), try) AS k FROM n) WHERE k = 1""")
 def sp19(spark, d):
-    return rounded(P.calibrate_by_clustering(_peaks(spark, d), _masses(spark, d).where("fragment_id % 20 = 0"), resolution=0.001), "shift")
+    return rounded(P.calibrate_by_clustering(_peaks(spark, d), _masses(spark, d), resolution=0.001), "shift")
 
 
 @query("sp20_calibration_offset", NEAREST, "SELECT spectrum_id, round(avg(off), 4) AS shift, count(*) AS n FROM near WHERE y >= 3 GROUP BY 1")
@@ -182,9 +181,9 @@ def sp20(spark, d):
     return rounded(P.calibrate_by_mean(_peaks(spark, d), _masses(spark, d), 0.0005), "shift")
 
 
-@query("sp21_rescale", SP, "SELECT spectrum_id, idx, round(y * 42.5 / 100, 6) AS y FROM spectra WHERE spectrum_id < 5")
+@query("sp21_rescale", SP, "SELECT spectrum_id, idx, round(y * 42.5 / 100, 6) AS y FROM spectra")
 def sp21(spark, d):
-    return rounded(_spectra(spark, d).where("spectrum_id < 5").select("spectrum_id", "idx", (F.col("y") * 42.5 / 100).alias("y")), "y", digits=6)
+    return rounded(_spectra(spark, d).select("spectrum_id", "idx", (F.col("y") * 42.5 / 100).alias("y")), "y", digits=6)
 
 
 MODEL = PEAKS + """,
@@ -196,10 +195,9 @@ def _model(spark, d) -> DataFrame:
     return P.modelled(_spectra(spark, d), _peaks(spark, d))
 
 
-@query("sp22_modelled_curve", MODEL, "SELECT spectrum_id, idx, round(model, 3) AS model FROM model WHERE spectrum_id < 6")
+@query("sp22_modelled_curve", MODEL, "SELECT spectrum_id, idx, round(model, 3) AS model FROM model")
 def sp22(spark, d):
-    s, p = _spectra(spark, d).where("spectrum_id < 6"), _peaks(spark, d).where("spectrum_id < 6")
-    return rounded(P.modelled(s, p).select("spectrum_id", "idx", "model"), "model", digits=3)
+    return rounded(_model(spark, d).select("spectrum_id", "idx", "model"), "model", digits=3)
 
 
 @query("sp22r_model_residual", MODEL, "SELECT spectrum_id, round(sqrt(avg((y - model)**2)), 3) AS rms FROM model GROUP BY 1")
@@ -223,14 +221,14 @@ def sp24(spark, d):
 
 
 def _assoc_sql(name: str, added: float) -> str:
-    return f"{name} AS (SELECT * FROM (SELECT p.spectrum_id, p.idx, p.x, p.y, m.fragment_id, row_number() OVER (PARTITION BY p.spectrum_id, m.fragment_id ORDER BY abs(p.x - (m.mass + {added})), p.idx) AS k FROM peaks p JOIN masses m ON m.fragment_id % 10 = 0 AND abs(p.x - (m.mass + {added})) < 0.002 * (m.mass + {added})) WHERE k = 1)"
+    return f"{name} AS (SELECT * FROM (SELECT p.spectrum_id, p.idx, p.x, p.y, m.fragment_id, row_number() OVER (PARTITION BY p.spectrum_id, m.fragment_id ORDER BY abs(p.x - (m.mass + {added})), p.idx) AS k FROM peaks p JOIN masses m ON abs(p.x - (m.mass + {added})) < 0.0005 * (m.mass + {added})) WHERE k = 1)"
 
 
 ASSOC = PEAKS + MS + ",\n" + _assoc_sql("plain", 0.0) + ",\n" + _assoc_sql("modified", 45.0)
 
 
 def _associated(spark, d, added: float) -> DataFrame:
-    return P.associate(_peaks(spark, d), _masses(spark, d).where("fragment_id % 10 = 0"), 0.002, added)
+    return P.associate(_peaks(spark, d), _masses(spark, d), 0.0005, added)
 
 
 @query("sp25_association", ASSOC, "SELECT 'plain' AS form, spectrum_id, fragment_id, idx FROM plain UNION ALL SELECT 'modified', spectrum_id, fragment_id, idx FROM modified")
@@ -295,10 +293,10 @@ def sp30(spark, d):
     return out.select("peak", F.round("cv", 4).alias("cv"), F.round("mean_area", 3).alias("mean_area"), "n_times", "chosen")
 
 
-@query("sp31_apply_standards", STD, "SELECT spectrum_id, idx, round(y * f, 2) AS y FROM spectra JOIN (SELECT timepoint, avg(10000 / area) / 100 AS f FROM prof WHERE area > 0 AND peak IN (SELECT peak FROM std WHERE chosen) GROUP BY 1) USING (timepoint) WHERE spectrum_id < 4")
+@query("sp31_apply_standards", STD, "SELECT spectrum_id, idx, round(y * f, 2) AS y FROM spectra JOIN (SELECT timepoint, avg(10000 / area) / 100 AS f FROM prof WHERE area > 0 AND peak IN (SELECT peak FROM std WHERE chosen) GROUP BY 1) USING (timepoint)")
 def sp31(spark, d):
     p = _profiles(spark, d)
-    return rounded(P.apply_standards(_spectra(spark, d).where("spectrum_id < 4"), p, P.internal_standards(p)).select("spectrum_id", "idx", "y"), "y", digits=2)
+    return rounded(P.apply_standards(_spectra(spark, d), p, P.internal_standards(p)).select("spectrum_id", "idx", "y"), "y", digits=2)
 
 
 @query("sp32_unexplained_peaks", NEAREST, "SELECT spectrum_id, idx FROM peaks p WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.spectrum_id = p.spectrum_id AND n.fragment_id % 2 = 0 AND abs(p.x - n.x) <= 0.001 * n.x)")

@@ -94,15 +94,22 @@ ACCESSIBILITY = RESIDUES + """,
 accessibility AS (SELECT *, asa * ((res_index % 10)::DOUBLE / 10) AS system_asa, (res_index % 7)::DOUBLE * 10 AS exposed_area FROM (SELECT *, ((structure_id * 13 + res_index * 29) % 100)::DOUBLE / 100 AS asa FROM residues))"""
 
 
+#: Letters of a chain; a text gives as many chains as it needs.
+PIECE = 120
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 120 letters of a document that name residues; documents without any are left out."""
+    """All letters of a document that name residues, in chains of 120: doc_id is the document's times 100000 plus the chain's number."""
     d = table(spark, sf_dir, "documents")
-    seq = F.translate(F.upper(F.regexp_replace(F.substring("text", 1, 120), "[^A-Za-z]", "")), "BJOUXZ", "")
-    return d.select("doc_id", "source", seq.alias("seq")).where("length(seq) > 0")
+    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOUXZ", "")
+    d = d.select("doc_id", "source", seq.alias("letters")).where("length(letters) > 0").withColumn("piece", F.explode(F.expr(f"sequence(0, (length(letters) - 1) div {PIECE})")))
+    piece = F.substring(F.col("letters"), F.col("piece") * PIECE + 1, F.lit(PIECE))
+    return d.select((F.col("doc_id") * 100000 + F.col("piece")).alias("doc_id"), F.col("doc_id").alias("text_id"), F.col("piece").cast("long").alias("piece"), "source", piece.alias("seq"))
 
 
 SEQUENCES = """
-sequences AS (SELECT * FROM (SELECT doc_id, source, regexp_replace(upper(regexp_replace(substr(text, 1, 120), '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g') AS seq FROM documents) WHERE length(seq) > 0)"""
+sequences AS (SELECT doc_id * 100000 + piece AS doc_id, doc_id AS text_id, piece, source, substr(letters, (piece * 120 + 1)::INT, 120) AS seq FROM (SELECT *, unnest(range(0, (length(letters) + 119) // 120)) AS piece FROM
+  (SELECT doc_id, source, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g') AS letters FROM documents)))"""
 
 
 #: Letters of a whole text's sequence; a longer line or sentence gives several.
@@ -120,16 +127,17 @@ def whole_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(aln_id, seq_idx, col, letter): the sequences of a source as rows of 40 columns."""
-    s = sequences(spark, sf_dir).withColumn("seq_idx", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long"))
-    cells = s.select(F.col("source").alias("aln_id"), "seq_idx", "seq", F.explode(F.expr("sequence(1, 40)")).alias("col"))
+    """(aln_id, seq_idx, col, letter): the chains of one number of 20 documents as rows of 120 columns."""
+    s = sequences(spark, sf_dir).withColumn("aln_id", F.concat_ws(":", F.expr("text_id div 20"), "piece"))
+    s = s.withColumn("seq_idx", F.row_number().over(Window.partitionBy("aln_id").orderBy("doc_id")).cast("long"))
+    cells = s.select("aln_id", "seq_idx", "seq", F.explode(F.expr(f"sequence(1, {PIECE})")).alias("col"))
     letter = F.expr("if(col <= length(seq), substr(seq, col, 1), '-')")
     return cells.select("aln_id", "seq_idx", F.col("col").cast("long").alias("col"), letter.alias("letter"))
 
 
 ALIGNMENTS = SEQUENCES + """,
 cells AS (SELECT aln_id, seq_idx, col, CASE WHEN col <= length(seq) THEN substr(seq, col::INT, 1) ELSE '-' END AS letter
-  FROM (SELECT source AS aln_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS seq_idx, seq, unnest(range(1, 41)) AS col FROM sequences))"""
+  FROM (SELECT aln_id, row_number() OVER (PARTITION BY aln_id ORDER BY doc_id) AS seq_idx, seq, unnest(range(1, 121)) AS col FROM (SELECT *, (text_id // 20) || ':' || piece AS aln_id FROM sequences)))"""
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
