@@ -150,6 +150,22 @@ def test_ngram_join(spark, k, percent, chunk, part):
     assert len(set(want.values())) < len(texts) - 5
 
 
+def test_ngram_join_of_long_documents(spark):
+    """Groups of long texts near the threshold, split into small trees, with a passage that all share."""
+    r = random.Random(11)
+    passage, texts = words(7, 60), []
+    for g in range(3):
+        base = words(200 + g, r.choice([2500, 4000, 6000])) + passage
+        for n in range(9):
+            t = list(base)
+            for _ in range(len(t) * n // 250):
+                t[r.randrange(len(t))] = f"n{r.random()}"
+            texts.append(" ".join(t))
+    got = ngram_join.near_duplicates(table(spark, texts), 4, 85, chunk=4, part=3).collect()
+    want = components(list(enumerate(texts, 1)), 4, 85)
+    assert {x.doc_id: x.component_id for x in got} == want and 3 < len(set(want.values())) < 27
+
+
 def test_ngram_join_odd_rows(spark, odd, empty):
     assert ngram_join.near_duplicates(odd).count() == 10
     kept = ngram_join.drop_near_duplicates(odd)
