@@ -203,13 +203,25 @@ def sq21(spark, d):
 
 # --- alignment: no SQL; the tests compare with a plain dynamic programme --------------------------------------------
 def _pairs(spark, d) -> DataFrame:
-    """Each sequence of the whole texts with the next two of its source."""
-    s = X.whole_sequences(spark, d)
-    before = F.sum("count").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    first = s.groupBy("source", "doc_id").count().select("source", "doc_id", F.coalesce(before, F.lit(0)).alias("before"))
-    s = s.join(first, ["source", "doc_id"]).withColumn("n", F.col("before") + F.col("nth"))
-    a = s.select("source", F.col("id").alias("id_a"), F.col("seq").alias("seq_a"), F.explode(F.array(F.col("n") + 1, F.col("n") + 2)).alias("n"))
-    return a.join(s.select("source", "n", F.col("id").alias("id_b"), F.col("seq").alias("seq_b")), ["source", "n"]).select("id_a", "id_b", "seq_a", "seq_b")
+    """Each sequence of the whole texts with the next two of its source, in the order of doc_id and place (no source: an empty one).
+
+    Pairs within a document are made in its row; only the first and last two sequences of a document are shuffled.
+    """
+    docs = X.sequence_lists(spark, d).withColumns({"source": F.coalesce("source", F.lit("")), "size": F.size("seqs")})
+    within = docs.select("doc_id", F.explode(F.expr("""flatten(transform(array(1, 2), s -> transform(filter(sequence(0, size - 1), i -> i + s < size),
+        i -> named_struct('i', i, 'j', i + s, 'seq_a', seqs[i], 'seq_b', seqs[i + s]))))""")).alias("p"))
+    within = within.select(F.concat_ws(":", "doc_id", "p.i").alias("id_a"), F.concat_ws(":", "doc_id", "p.j").alias("id_b"), "p.seq_a", "p.seq_b")
+
+    # places in the source: sums before each bin of doc_ids, and within it
+    ends = docs.select("source", "doc_id", "size", F.expr("doc_id div 4096").alias("bin"), F.expr("transform(filter(sequence(0, size - 1), i -> i < 2 OR i >= size - 2), i -> struct(i AS nth, seqs[i] AS seq))").alias("ends"))
+    before = lambda total, *by: F.coalesce(F.sum(total).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = ends.groupBy("source", "bin").agg(F.sum("size").alias("total")).select("source", "bin", before("total", "source", "bin").alias("ahead"))
+    ends = ends.withColumn("own", before("size", "source", "bin", "doc_id")).join(bins, ["source", "bin"])
+    ends = ends.select("source", "doc_id", "size", (F.col("ahead") + F.col("own")).alias("first"), F.explode("ends").alias("e"))
+    ends = ends.select("source", F.concat_ws(":", "doc_id", "e.nth").alias("id"), "size", "e.nth", (F.col("first") + F.col("e.nth")).alias("n"), "e.seq")
+    a = ends.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("step")).where("nth + step >= size").select("source", (F.col("n") + F.col("step")).alias("n"), F.col("id").alias("id_a"), F.col("seq").alias("seq_a"))
+    b = ends.where("nth < 2").select("source", "n", F.col("id").alias("id_b"), F.col("seq").alias("seq_b"))
+    return within.unionByName(a.join(b, ["source", "n"]).select("id_a", "id_b", "seq_a", "seq_b"))
 
 
 @query("sq8_pairwise_alignment")

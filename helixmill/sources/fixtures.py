@@ -116,13 +116,18 @@ sequences AS (SELECT doc_id * 100000 + piece AS doc_id, doc_id AS text_id, piece
 LONGEST = 500
 
 
-def whole_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, doc_id, nth, source, seq): all letters of a document that name residues, a sequence for each line or sentence."""
+def sequence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, seqs): all letters of a document that name residues, a sequence for each line or sentence; none: no row."""
     d = table(spark, sf_dir, "documents")
     parts = F.transform(F.split("text", r"\n|(?<=[.!?])\s+"), lambda p: F.translate(F.upper(F.regexp_replace(p, "[^A-Za-z]", "")), "BJOUXZ", ""))
     divided = lambda p: F.transform(F.sequence(F.lit(1), F.length(p), F.lit(LONGEST)), lambda i: F.substring(p, i, F.lit(LONGEST)))
     parts = F.flatten(F.transform(F.filter(parts, lambda p: F.length(p) > 0), divided))
-    out = d.select("doc_id", "source", F.posexplode(parts).alias("nth", "seq"))
+    return d.select("doc_id", "source", parts.alias("seqs")).where("size(seqs) > 0")
+
+
+def whole_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, doc_id, nth, source, seq): the sequences of whole texts, a row each."""
+    out = sequence_lists(spark, sf_dir).select("doc_id", "source", F.posexplode("seqs").alias("nth", "seq"))
     return out.select(F.concat_ws(":", "doc_id", "nth").alias("id"), "doc_id", F.col("nth").cast("long").alias("nth"), "source", "seq")
 
 
