@@ -1,6 +1,7 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license templates (operator 3).
 
-DataFrame operations only.  A block is a line.  Templates and blocks are sets of words in one global order, from the
+DataFrame operations only.  Notices stand on one line or are wrapped over a few.  A block therefore starts at every line: a line of over
+WRAPPED words alone, a shorter one with those of the next SPAN - 1 lines that are as short.  Templates and blocks are sets of words in one global order, from the
 words that the fewest documents hold.  A block can hold a share t of template T only if it has ceil(t|T|) of its words, (all of them where it is short), so
 (prefix filter) one of T's first |T| - ceil(t|T|) + 1 words, (length filter) enough template words in all and
 (positional filter) enough words from the shared one on, on both sides.  Survivors are counted exactly.
@@ -42,6 +43,10 @@ TEMPLATES = (
 
 #: Templates of fewer distinct words than this must be found whole.
 SHORT = 12
+#: A line of at most so many words may be part of a wrapped notice,
+WRAPPED = 20
+#: which takes at most so many lines.
+SPAN = 4
 
 
 def words_of(col: Column | str) -> Column:
@@ -75,27 +80,30 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     score is the largest share of a template found in one block (1 where a base phrase stands); blocks lists
-    (line, template, share) of every block that meets the threshold.
+    (line, template, share) of every block that meets the threshold, line being its first.  Blocks overlap: a notice on a short
+    line is found from that line and from the short lines up to SPAN - 1 before it.
     """
     spark = docs.sparkSession
     sets = [(i, label, template_words(text)) for i, (label, text) in enumerate(templates)]
     need = {i: words_needed(ws, threshold) for i, _, ws in sets}
     vocabulary, least = sorted({w for *_, ws in sets for w in ws}), min(need.values())
 
-    # One pass over the texts: phrase places, and the template words of each line that has enough of them.
+    # One pass over the texts: phrase places, and the template words of each block that has enough of them.
     texts = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
     lines = texts.select("doc_id", "row", F.transform(F.split("text", "\n"), words_of).alias("line_words"))
     lines = lines.withColumn("words", F.flatten("line_words"))
     places = [_places(F.col("words"), p).alias(f"p{k}") for k, (p, _) in enumerate(phrases)]
-    known = F.transform("line_words", lambda ws: F.array_distinct(F.filter(ws, lambda w: w.isin(vocabulary))))
+    known = F.transform("line_words", lambda ws: F.struct((F.size(ws) <= WRAPPED).alias("wrapped"), F.array_distinct(F.filter(ws, lambda w: w.isin(vocabulary))).alias("ws")))
     found = lines.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), *places, known.alias("known"))
     columns = [F.col(f"p{k}") for k in range(len(phrases))]
     starts = F.concat(*columns)
-    blocks = F.filter(F.transform("known", lambda ws, i: F.struct(i.alias("line"), ws.alias("ws"))), lambda b: F.size(b["ws"]) >= least)
+    beside = lambda i: F.transform(F.filter(F.slice("known", i + 1, SPAN), lambda o: o["wrapped"]), lambda o: o["ws"])
+    block = lambda b, i: F.when(b["wrapped"], F.array_distinct(F.flatten(beside(i)))).otherwise(b["ws"])
+    blocks = F.filter(F.transform("known", lambda b, i: F.struct(i.alias("line"), block(b, i).alias("ws"))), lambda b: F.size(b["ws"]) >= least)
     base = found.select(
         "doc_id", "row", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(F.size(c) > 0, label) for c, (_, label) in zip(columns, phrases, strict=True)])).alias("base"),
-        blocks.alias("blocks"), F.array_distinct(F.flatten("known")).alias("vocab"),
+        blocks.alias("blocks"), F.array_distinct(F.flatten(F.transform("known", lambda b: b["ws"]))).alias("vocab"),
     )
     base = materialize(base, "license-base")
 

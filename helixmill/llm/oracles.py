@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import PHRASES, TEMPLATES, template_words, words_needed
+from .license_scan import PHRASES, SPAN, TEMPLATES, WRAPPED, template_words, words_needed
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -59,12 +59,15 @@ def license_scan(threshold: float = 0.8) -> str:
     rows = ", ".join(f"('{label}', {_list(ws)}, {words_needed(ws, threshold)})" for label, ws in sets)
     starts = " || ".join(f"p{n}" for n in range(len(PHRASES)))
     base = "[" + ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, (_, label) in enumerate(PHRASES)) + "]"
+    beside = ", ".join(f"coalesce(lead(part, {k}) OVER g, [])" for k in range(1, SPAN))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
 WITH t(label, ws, need) AS (VALUES {rows}),
 d AS (SELECT doc_id, translate(coalesce(text, ''), {AZ}) AS text FROM documents),
 p AS (SELECT doc_id, len(w) AS n_words, {', '.join(places)} FROM (SELECT doc_id, regexp_extract_all(text, '{word}') AS w FROM d)),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+n AS (SELECT doc_id, pos, regexp_extract_all(line, '{word}') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
+s AS (SELECT *, CASE WHEN len(ws) <= {WRAPPED} THEN ws ELSE [] END AS part FROM n),
+l AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) > {WRAPPED} THEN ws ELSE flatten([part, {beside}]) END) AS ws FROM s WINDOW g AS (PARTITION BY doc_id ORDER BY pos)),
 h AS (SELECT doc_id, label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS share FROM l, t WHERE len(l.ws) >= need AND len(list_intersect(l.ws, t.ws)) >= need),
 m AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM h GROUP BY doc_id),
 b AS (SELECT doc_id, n_words, {starts} AS starts, list_filter({base}, lambda x: x IS NOT NULL) AS base FROM p)

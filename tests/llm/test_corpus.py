@@ -226,10 +226,24 @@ def test_license_join_is_brute_force(spark):
     pool = sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.template_words(t)}) + ["other", "words"]
     texts = ["\n".join(" ".join(r.sample(license_scan.template_words(r.choice(license_scan.TEMPLATES)[1]), 4) + r.sample(pool, r.randrange(25))) for _ in range(3)) for _ in range(60)]
     got = {(x.doc_id, b.line, b.template) for x in license_scan.scan_licenses(table(spark, texts)).collect() for b in x.blocks or []}
-    want = {(d, n, k) for d, t in enumerate(texts, 1) for n, line in enumerate(t.split("\n")) for k, (_, tpl) in enumerate(license_scan.TEMPLATES) if len(set(line.split()) & set(ws := license_scan.template_words(tpl))) >= license_scan.words_needed(ws, 0.8)}
+    want = set()
+    for d, t in enumerate(texts, 1):
+        lines = [line.split() for line in t.split("\n")]
+        for n, line in enumerate(lines):
+            block = set(line) if len(line) > license_scan.WRAPPED else {w for x in lines[n : n + license_scan.SPAN] if len(x) <= license_scan.WRAPPED for w in x}
+            want |= {(d, n, k) for k, (_, tpl) in enumerate(license_scan.TEMPLATES) if len(block & set(ws := license_scan.template_words(tpl))) >= license_scan.words_needed(ws, 0.8)}
     assert got == want and want
 
 
+def test_wrapped_notices(spark):
+    notice = license_scan.TEMPLATES[1][1].split()
+    wrapped = "Some text.\n" + "\n".join(" * " + " ".join(notice[i : i + 6]) for i in range(0, len(notice), 6))
+    texts = [wrapped, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met:",
+             "Licensed under\n" + "long " * 30 + "\nCC BY-NC\n4.0.", "\n\n".join(notice)]
+    got = [(r.labels, round(r.score, 2)) for r in license_scan.scan_licenses(table(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [("mit", 1.0), ("bsd", 1.0), ("cc-by-nc", 1.0), ("", 0.0)]
+
+
 # --- archives -----------------------------------------------------------------------------------------------------
 def test_archives(spark, empty):
     big, tricky = "x" * 1500, "WARC/1.1\r\n\r\n\r\n" + "é" * 700
