@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder of spark.checkpoint.dir; in one of our own where that is unset."""
+    """df.checkpoint() in the folder of spark.checkpoint.dir.  Only a local session may do without that setting."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixmill-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="helixmill-"))
     return df.checkpoint()

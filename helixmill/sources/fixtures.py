@@ -146,17 +146,17 @@ cells AS (SELECT aln_id, seq_idx, col, CASE WHEN col <= length(seq) THEN substr(
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty spectra of event values over time."""
+    """Event values over time: twenty spectra for every 160 users, so that their number grows with the table and their length does not."""
     e = table(spark, sf_dir, "events")
     micros = F.expr("unix_micros(cast(ts as timestamp)) - unix_micros(timestamp'2024-01-01 00:00:00')")
-    e = e.select(F.expr("user_id % 20").cast("long").alias("spectrum_id"), micros.alias("t"), F.col("value").cast("double").alias("y"), "event_id")
+    e = e.select(F.expr("user_id div 160 * 20 + user_id % 20").cast("long").alias("spectrum_id"), micros.alias("t"), F.col("value").cast("double").alias("y"), "event_id")
     n = F.row_number().over(Window.partitionBy("spectrum_id").orderBy("t", "event_id")).cast("long") - 1
     return e.select("spectrum_id", n.alias("idx"), F.expr("800 + 9200D * t / 2592000000000D").alias("x"), "y", F.expr("spectrum_id % 5").alias("timepoint"), F.expr("spectrum_id div 5").alias("replicate"))
 
 
 SPECTRA = """
 spectra AS (SELECT spectrum_id, row_number() OVER (PARTITION BY spectrum_id ORDER BY t, event_id) - 1 AS idx, 800 + 9200.0::DOUBLE * t / 2592000000000.0::DOUBLE AS x, y, spectrum_id % 5 AS timepoint, spectrum_id // 5 AS replicate
-  FROM (SELECT (user_id % 20)::BIGINT AS spectrum_id, epoch_us(ts::TIMESTAMP) - epoch_us(TIMESTAMP '2024-01-01') AS t, value::DOUBLE AS y, event_id FROM events))"""
+  FROM (SELECT (user_id // 160 * 20 + user_id % 20)::BIGINT AS spectrum_id, epoch_us(ts::TIMESTAMP) - epoch_us(TIMESTAMP '2024-01-01') AS t, value::DOUBLE AS y, event_id FROM events))"""
 
 
 def expected_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
