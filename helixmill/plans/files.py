@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.functions.lineage import new_path
+from helixmill.operators import spatial as S
 from helixmill.plans.registry import query, rounded
-from helixmill.plans.structures import _bonds, HB
+from helixmill.plans.structures import CONTACTS, DENSITY_SQL, HB, _bonds, _contacts
 from helixmill.sources import files as I
 from helixmill.sources import fixtures as X
 
@@ -34,6 +36,30 @@ def io3(spark, d):
     return _lines(spark, d)
 
 
+def _saved(spark, df: DataFrame, name: str) -> DataFrame:
+    """Written as a snapshot and read back."""
+    path = new_path(spark, name)
+    I.save_snapshot(df, path, buckets=8)
+    return I.load_snapshot(spark, path)
+
+
+@query("io4_snapshot", X.ATOMS, "SELECT structure_id, chain_id, res_index, atom_number, atom_type, x, y, z, round(b_factor, 4) AS b_factor FROM atoms")
+def io4(spark, d):
+    a = X.atoms(spark, d).select("structure_id", "chain_id", "res_index", "atom_number", "atom_type", "x", "y", "z", "b_factor")
+    return rounded(_saved(spark, a, "snapshot"), "b_factor")
+
+
+@query("io7_contact_table", CONTACTS, "SELECT structure_id, chain_id, i, j, round(q, 4) AS q FROM contacts")
+def io7(spark, d):
+    return rounded(_saved(spark, _contacts(spark, d).select("structure_id", "chain_id", "i", "j", "q"), "contacts"), "q")
+
+
+@query("io8_density_table", X.ATOMS, DENSITY_SQL)
+def io8(spark, d):
+    table = S.densities(X.atoms(spark, d)).select("structure_id", "atom_number", "n", "density")
+    return rounded(_saved(spark, table, "densities"), "density")
+
+
 @query("io6_accessibility_table", X.ACCESSIBILITY, "SELECT structure_id, res_number, round(asa, 3) AS asa, round(system_asa, 3) AS sidechain_asa FROM accessibility WHERE chain_id = 'A'")
 def io6(spark, d):
     a = X.accessibility(spark, d).where("chain_id = 'A'").withColumn("sidechain_asa", F.col("system_asa"))
@@ -56,6 +82,29 @@ def io11(spark, d):
     return rounded(I.parse_spectrum(lines), "x", "y")
 
 
+@query("io12_write_spectra", X.SPECTRA, "SELECT spectrum_id, round(x, 4) AS x, round(y, 4) AS y FROM spectra")
+def io12(spark, d):
+    path = new_path(spark, "spectra")
+    I.write_spectra(X.spectra(spark, d), path)
+    back = spark.read.schema("x double, y double, spectrum_id long").csv(path)
+    return rounded(back.select("spectrum_id", "x", "y"), "x", "y")
+
+
+@query("io13_classification_files", X.TREE, "SELECT node_id, parent_id, level::VARCHAR AS level, description FROM nodes")
+def io13(spark, d):
+    t, path = X.tree(spark, d), new_path(spark, "classification")
+    none = F.lit("-")
+    files = {
+        "hierarchy": [F.col("node_id"), F.coalesce(F.col("parent_id").cast("string"), none), none.alias("children")],
+        "descriptions": [F.col("node_id"), F.col("level"), none.alias("sccs"), none.alias("name"), F.col("description")],
+        "domains": [none.alias("sid"), none.alias("pdbid"), none.alias("residues"), none.alias("sccs"), F.col("node_id"), none.alias("lineage")],
+    }
+    for name, columns in files.items():
+        t.select(F.concat_ws("\t", *[c.cast("string") for c in columns]).alias("value")).write.text(f"{path}/{name}")
+    nodes = I.read_classification(spark, *[f"{path}/{name}" for name in files])["nodes"]
+    return nodes.select("node_id", "parent_id", "level", "description")
+
+
 @query("io15_hbond_report", HB, "SELECT structure_id, count(*) AS n_lines FROM good WHERE n = 1 GROUP BY 1")
 def io15(spark, d):
     return I.hbond_report(_bonds(spark, d)).groupBy("structure_id").agg(F.count("value").alias("n_lines"))

@@ -272,9 +272,12 @@ def sj4(spark, d):
     return rounded(S.bonds(a.withColumns({c: F.col(c) / 16 for c in "xyz"})), "x", "y", "z", digits=9)
 
 
-@query("sj5_density", X.ATOMS, f"""
+DENSITY_SQL = f"""
 , n AS (SELECT a.structure_id, a.chain_id, a.atom_number, count(b.atom_number) AS n FROM atoms a LEFT JOIN atoms b ON a.structure_id = b.structure_id AND a.chain_id = b.chain_id AND a.atom_number <> b.atom_number AND {_near('a', 'b', 9.0)} AND {_dist('a', 'b')} < 9.0 GROUP BY ALL)
-SELECT structure_id, atom_number, n, round(n::DOUBLE / max(n) OVER (PARTITION BY structure_id, chain_id), 4) AS density FROM n""")
+SELECT structure_id, atom_number, n, round(n::DOUBLE / max(n) OVER (PARTITION BY structure_id, chain_id), 4) AS density FROM n"""
+
+
+@query("sj5_density", X.ATOMS, DENSITY_SQL)
 def sj5(spark, d):
     return rounded(S.densities(X.atoms(spark, d)).select("structure_id", "atom_number", "n", "density"), "density")
 
