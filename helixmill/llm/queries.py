@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .mpeg import documents_as_media
 from .ngram_join import near_duplicates
 from .quality import score_quality, train_quality
+from .runs import run_digests, with_periods, word_runs
 from .toxicity import score_toxicity, train_toxicity
 from .warc import pages_through_archives
 
@@ -71,9 +72,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # only the documents to be made periodic are split here
+    planted = docs.select("doc_id", "text", F.when(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, words).alias("words"))
+    return run_digests(word_runs(planted, F.coalesce(with_periods(F.col("words"), F.col("doc_id")), F.col("text"))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_exact_dedup, op3_license_scan, op4_warc, op5_mix, op6_line_dedup, op7_ngram_join, op8_mpeg, op9_toxicity, op10_bpe)
+    for f in (op1_quality, op2_exact_dedup, op3_license_scan, op4_warc, op5_mix, op6_line_dedup, op7_ngram_join, op8_mpeg, op9_toxicity, op10_bpe, op11_periodic_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
