@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import PHRASES, SPAN, TEMPLATES, WRAPPED, template_words, words_needed
+from .secret_scan import ACCESS, ALPHABET, ASSIGN, BACKING, CANDIDATE, HEX, IDENTIFIER, KINDS, LEAST_VALUE, MARGIN, SMOOTHING, TOKEN
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -97,3 +98,65 @@ e AS (SELECT *, upto <= rest AS extra, rest - coalesce(max(CASE WHEN upto <= res
 x AS (SELECT *, row_number() OVER (PARTITION BY source, extra OR NOT abs(size - gap) < gap ORDER BY abs(size - gap), key, doc_id, size) AS nth FROM e)
 SELECT doc_id, size, source_size, target, (size * (full_ + CASE WHEN rest > 0 AND (extra OR (abs(size - gap) < gap AND nth = 1)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
 """
+
+
+def secret_scan() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    assign, token = quoted(ASSIGN), quoted(TOKEN)
+    candidate = f"{token}{{{CANDIDATE},}}"
+    size = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda s: length(s))), 0)"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind, unnest(range(1, len(m) + 1)) AS i, p, m, v FROM (SELECT doc_id, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}') AS m, "
+        f"regexp_extract_all(text, '{p}', {g}) AS v FROM d WHERE regexp_matches(text, '{p}'))"
+        for k, p, g in ((1, assign, 2), (2, ACCESS, 0), (3, HEX, 0), (4, candidate, 0))
+    )
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    listed = f"string_agg({names}[kind] || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT true AS random, unnest(regexp_extract_all(v, '{candidate}')) AS word
+  FROM (SELECT unnest(regexp_extract_all(text, '{assign}', 2) || regexp_extract_all(text, '{ACCESS}') || regexp_extract_all(text, '{HEX}')) AS v FROM d)
+  UNION ALL SELECT false, unnest(regexp_extract_all(regexp_replace(text, '{assign}|{ACCESS}|{HEX}', ' ', 'g'), '{token}{{{IDENTIFIER},}}')) FROM d),
+pairs AS MATERIALIZED (SELECT random, substr(word, i, 2) AS pair, count(*) AS n FROM (SELECT random, word, unnest(range(1, length(word))) AS i FROM w WHERE regexp_matches(word, '[A-Za-z]')) GROUP BY ALL),
+firsts AS (SELECT random, pair[1] AS a, sum(n) AS n FROM pairs GROUP BY ALL),
+seconds AS (SELECT random, pair[2] AS b, sum(n) AS n FROM pairs GROUP BY ALL),
+alls AS (SELECT random, sum(n) AS n FROM pairs GROUP BY ALL),
+letters AS (SELECT unnest(string_split('{ALPHABET}', '')) AS c),
+shares AS (
+  SELECT r.random, a.c || b.c AS pair,
+    (coalesce(p.n, 0) + {BACKING} * ((coalesce(s.n, 0) + {SMOOTHING}::DOUBLE) / (coalesce(t.n, 0) + {SMOOTHING} * {len(ALPHABET)}))) / (coalesce(f.n, 0) + {BACKING}) AS share
+  FROM letters a CROSS JOIN letters b CROSS JOIN (VALUES (true), (false)) r(random)
+  LEFT JOIN pairs p ON p.random = r.random AND p.pair = a.c || b.c LEFT JOIN firsts f ON f.random = r.random AND f.a = a.c
+  LEFT JOIN seconds s ON s.random = r.random AND s.b = b.c LEFT JOIN alls t ON t.random = r.random),
+weights AS MATERIALIZED (SELECT s.pair, round(1000 * (ln(0.5 * s.share + 0.5 / {len(ALPHABET)}) - ln(o.share)))::BIGINT AS weight FROM shares s JOIN shares o ON s.pair = o.pair AND s.random AND NOT o.random),
+f AS ({found}),
+spans AS MATERIALIZED (SELECT doc_id, kind, ({size('p[1:i]')} + {size('m[1:i - 1]')})::BIGINT AS start, length(m[i]) AS size, v[i] AS value FROM f),
+likely AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, value, unnest(range(1, length(value))) AS i FROM spans WHERE kind = 4 AND regexp_matches(value, '[A-Za-z]')) JOIN weights ON pair = substr(value, i, 2)
+  GROUP BY doc_id, start HAVING sum(weight) >= {MARGIN} * count(*)),
+kept AS (
+  SELECT doc_id, kind, start, start + size AS stop FROM spans WHERE kind IN (2, 3) OR kind = 1 AND length(value) >= {LEAST_VALUE}
+  UNION ALL SELECT doc_id, kind, start, start + size FROM spans SEMI JOIN likely USING (doc_id, start) WHERE kind = 4)
+SELECT d.doc_id, count(*) FILTER (kind = 1) AS n_assign, count(*) FILTER (kind = 2) AS n_access, count(*) FILTER (kind = 3) AS n_hex,
+  sha256(coalesce({listed} FILTER (kind < 4), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def lexical_search(k: int = 20) -> str:
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH t AS (SELECT doc_id, {terms} AS ts FROM documents),
+d AS MATERIALIZED (SELECT doc_id, len(ts) AS n, ts FROM t WHERE len(ts) > 0),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+q AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({terms}) AS term FROM benchmark) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf CROSS JOIN c GROUP BY term),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * n_docs) // n_terms) AS m FROM d CROSS JOIN c),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {k}
+"""

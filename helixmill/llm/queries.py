@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .bpe import encode_documents
 from .exact_dedup import exact_duplicates
+from .lexical_search import ranked_search
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -15,6 +16,7 @@ from .mpeg import documents_as_media
 from .ngram_join import near_duplicates
 from .quality import score_quality, train_quality
 from .runs import run_digests, with_periods, word_runs
+from .secret_scan import scan_secrets, span_digests
 from .toxicity import score_toxicity, train_toxicity
 from .warc import pages_through_archives
 
@@ -80,9 +82,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(word_runs(planted, F.coalesce(with_periods(F.col("words"), F.col("doc_id")), F.col("text"))))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_exact_dedup, op3_license_scan, op4_warc, op5_mix, op6_line_dedup, op7_ngram_join, op8_mpeg, op9_toxicity, op10_bpe, op11_periodic_runs)
+    for f in (op1_quality, op2_exact_dedup, op3_license_scan, op4_warc, op5_mix, op6_line_dedup, op7_ngram_join, op8_mpeg, op9_toxicity, op10_bpe, op11_periodic_runs, op12_secret_scan, op13_ranked_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +102,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mix": oracles.mixing(),
     "op6_line_dedup": oracles.LINE_DEDUP,
     "op7_ngram_join": oracles.ngram_join(),
+    "op12_secret_scan": oracles.secret_scan(),
+    "op13_ranked_search": oracles.lexical_search(),
 }
