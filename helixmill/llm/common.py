@@ -82,6 +82,16 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def descending_batch(rows: DataFrame, n: int) -> Column:
+    """Number of a row's batch, from 0 for the largest doc_ids to n - 1 for the smallest and for null; batches have about as many rows each.
+
+    The borders are doc_ids found near the quantiles, so that neither the distance of ids nor their skew matters; equal ids share a batch.
+    """
+    borders = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], F.lit(1000))).first()[0] if n > 1 else None
+    above = sum((F.col("doc_id") <= F.lit(b).cast("long")).cast("int") for b in borders) if borders else F.lit(0)
+    return F.coalesce(above, F.lit(n - 1))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(src, dst) longs -> (node, component), component being the smallest node reachable.
 

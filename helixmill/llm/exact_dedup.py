@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, delete_path, materialize, n_partitions, row_key, scratch, text_or_empty, unused
+from .common import ascii_lower, delete_path, descending_batch, materialize, n_partitions, row_key, scratch, text_or_empty, unused
 
 
 def text_digest(col: str = "text") -> Column:
@@ -69,14 +69,9 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, n_batche
     own = index is None
     index = DigestIndex(spark) if own else index
     rows = materialize(docs.select("doc_id", text_digest().alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        index.add(rows, run)
-    else:
-        step = (high - low) // n_batches + 1
-        number = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(step)), F.lit(n_batches - 1))
-        for b in range(n_batches):
-            index.add(rows.where(number == b), run)
+    number = descending_batch(rows, n_batches)
+    for b in range(n_batches):
+        index.add(rows.where(number == b), run)
     counts = materialize(rows.groupBy("digest").agg(F.count("*").alias("group_size")).join(index.winners().withColumnsRenamed({"doc_id": "keep_id", "row": "keep_row", "run": "keep_run"}), "digest"), "digest-groups")
     if own:
         index.drop()

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, delete_path, discard, materialize, n_partitions, scratch, text_or_empty
+from .common import WS, ascii_lower, delete_path, descending_batch, discard, materialize, n_partitions, scratch, text_or_empty
 
 RUN = "h1 long, h2 long, n_docs long, max_doc long, is_new boolean"
 
@@ -108,9 +108,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     """
     spark = docs.sparkSession
     lines = materialize(line_hashes(docs, min_chars), "lines")
-    low, high = lines.agg(F.min("doc_id"), F.max("doc_id")).first()
-    step = 1 if low is None else (high - low) // n_batches + 1
-    batch = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(step)), F.lit(n_batches - 1)).cast("int").alias("batch")
+    batch = descending_batch(lines, n_batches).alias("batch")
     once = lines.select("h1", "h2", "doc_id", "text_hash").distinct()
     stats = once.groupBy(batch, "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
     stats = materialize(stats, "line-stats", "batch")
