@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .license_scan import PHRASES, SPAN, TEMPLATES, WRAPPED, template_words, words_needed
+import math
+import re
+
+from .license_scan import NOT_WORD, PHRASES, TEMPLATES, template_words, words_needed
 from .secret_scan import ACCESS, ALPHABET, ASSIGN, BACKING, CANDIDATE, HEX, IDENTIFIER, KINDS, LEAST_VALUE, MARGIN, SMOOTHING, TOKEN
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -56,20 +59,20 @@ def license_scan(threshold: float = 0.8) -> str:
         f"list_filter(range(1, len(w) - {len(ws)} + 2), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(ws)) + f") AS p{n}"
         for n, ws in enumerate(p.split() for p, _ in PHRASES)
     ]
-    sets = [(label, template_words(text)) for label, text in TEMPLATES]
-    rows = ", ".join(f"('{label}', {_list(ws)}, {words_needed(ws, threshold)})" for label, ws in sets)
+    # label, distinct words, how many are needed, and the words that a notice may take: its template's and a quarter more
+    sets = [(label, template_words(text), math.ceil(len([w for w in re.split(NOT_WORD, text.lower()) if w]) * 1.25 - 1e-9)) for label, text in TEMPLATES]
+    rows = ", ".join(f"({i}, '{label}', {_list(ws)}, {words_needed(ws, threshold)}, {span})" for i, (label, ws, span) in enumerate(sets))
     starts = " || ".join(f"p{n}" for n in range(len(PHRASES)))
     base = "[" + ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, (_, label) in enumerate(PHRASES)) + "]"
-    beside = ", ".join(f"coalesce(lead(part, {k}) OVER g, [])" for k in range(1, SPAN))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
-WITH t(label, ws, need) AS (VALUES {rows}),
-d AS (SELECT doc_id, translate(coalesce(text, ''), {AZ}) AS text FROM documents),
-p AS (SELECT doc_id, len(w) AS n_words, {', '.join(places)} FROM (SELECT doc_id, regexp_extract_all(text, '{word}') AS w FROM d)),
-n AS (SELECT doc_id, pos, regexp_extract_all(line, '{word}') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
-s AS (SELECT *, CASE WHEN len(ws) <= {WRAPPED} THEN ws ELSE [] END AS part FROM n),
-l AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) > {WRAPPED} THEN ws ELSE flatten([part, {beside}]) END) AS ws FROM s WINDOW g AS (PARTITION BY doc_id ORDER BY pos)),
-h AS (SELECT doc_id, label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS share FROM l, t WHERE len(l.ws) >= need AND len(list_intersect(l.ws, t.ws)) >= need),
+WITH t(id, label, ws, need, span) AS (VALUES {rows}),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '{word}') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {', '.join(places)} FROM d),
+n AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS pos FROM d),
+o AS (SELECT doc_id, id, label, len(ws) AS size, need, span, pos, x FROM n JOIN (SELECT *, unnest(ws) AS x FROM t) USING (x)),
+l AS (SELECT doc_id, label, size, need, len(list_distinct(list(x) OVER (PARTITION BY doc_id, id ORDER BY pos RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING))) AS n FROM o),
+h AS (SELECT doc_id, label, n / size AS share FROM l WHERE n >= need),
 m AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM h GROUP BY doc_id),
 b AS (SELECT doc_id, n_words, {starts} AS starts, list_filter({base}, lambda x: x IS NOT NULL) AS base FROM p)
 SELECT b.doc_id, n_words, len(starts) AS n_base, list_min(starts) - 1 AS first_word, list_max(starts) - 1 AS last_word,
