@@ -47,48 +47,74 @@ def share_targets(sizes: list[int], weights: list[int], limit: int = 3) -> list[
     return targets
 
 
+def _augment(edges: list[tuple[int, int, int]], n: int, cap: list[int], start: int, end: int) -> None:
+    """Raises the flow from start to end as far as it goes, by blocking flows along shortest paths.
+
+    Edge e leads from edges[e // 2] one way (e even) or back (e odd); cap holds what each may still take and is changed.
+    """
+    to, out = [0] * (2 * len(edges)), [[] for _ in range(n)]
+    for k, (u, v, _) in enumerate(edges):
+        to[2 * k], to[2 * k + 1] = v, u
+        out[u].append(2 * k)
+        out[v].append(2 * k + 1)
+    while True:
+        level, layer = {start: 0}, [start]
+        while layer and end not in level:
+            beyond = []
+            for u in layer:
+                for e in out[u]:
+                    if cap[e] and to[e] not in level:
+                        level[to[e]] = level[u] + 1
+                        beyond.append(to[e])
+            layer = beyond
+        if end not in level:
+            return
+        tried, path, at = dict.fromkeys(level, 0), [], start
+        while True:
+            if at == end:
+                amount = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= amount
+                    cap[e ^ 1] += amount
+                full = next(k for k, e in enumerate(path) if not cap[e])
+                at = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while tried[at] < len(out[at]):
+                e = out[at][tried[at]]
+                if cap[e] and level.get(to[e]) == level[at] + 1:
+                    path.append(e)
+                    at = to[e]
+                    break
+                tried[at] += 1
+            else:
+                if not path:
+                    break
+                at = to[path.pop() ^ 1]
+                tried[at] += 1
+
+
 def min_cost_flow(patterns: list[tuple[int, list[int]]], quotas: list[int], layers: int = 3) -> list[dict[int, int]]:
     """patterns: (words, sources); quotas: words by source.  Words that each pattern sends to each of its sources.
 
-    Successive shortest paths; the k-th repetition of a word costs k.  Layers of a pattern fill in order, as the first
-    that has room is the cheapest.
+    The k-th repetition of a word costs k, whatever the pattern, so that all paths of one layer cost the same: shortest paths first means the largest flow with
+    every word once, raised to the largest with every word twice, and so on.  A path that raises the flow never takes words back from a
+    pattern, so earlier layers stay full.  Each layer is one maximum flow by blocking flows, nearly linear in the patterns.
     """
-    n, flow, left = len(patterns), [dict.fromkeys(s, 0) for _, s in patterns], list(quotas)
-    used = [0] * n
-
-    def price(p: int) -> int | None:
-        size = patterns[p][0]
-        return used[p] // size if size and used[p] < layers * size else None
-
-    by_source: dict[int, list[int]] = {}
-    for p, (_, sources) in enumerate(patterns):
-        for s in sources:
-            by_source.setdefault(s, []).append(p)
-    for s in range(len(quotas)):
-        while left[s] > 0:
-            # cheapest pattern from which s can be reached, through other sources that hand over words
-            seen, paths, best = {s}, [(s, [])], None
-            while paths:
-                at, path = paths.pop(0)
-                for p in by_source.get(at, []):
-                    cost = price(p)
-                    if cost is not None and (best is None or (cost, len(path)) < best[:2]):
-                        best = (cost, len(path), p, at, path)
-                    for other, words in flow[p].items():
-                        if words > 0 and other not in seen:
-                            seen.add(other)
-                            paths.append((other, [*path, (p, at, other)]))
-            if best is None:
-                break
-            cost, _, p, at, path = best
-            size = patterns[p][0]
-            amount = min([left[s], (cost + 1) * size - used[p], *[flow[q][other] for q, _, other in path]])
-            flow[p][at] += amount
-            used[p] += amount
-            for q, to, other in path:
-                flow[q][other] -= amount
-                flow[q][to] += amount
-            left[s] -= amount
+    n = len(patterns)
+    start, end = n + len(quotas), n + len(quotas) + 1
+    edges = [(start, p, 0) for p in range(n)] + [(n + s, end, q) for s, q in enumerate(quotas)]
+    links = [(p, s) for p, (_, sources) in enumerate(patterns) for s in sources]
+    edges += [(p, n + s, layers * patterns[p][0]) for p, s in links]
+    cap = [x for _, _, c in edges for x in (c, 0)]
+    for _ in range(layers):
+        for p, (size, _) in enumerate(patterns):
+            cap[2 * p] += size
+        _augment(edges, end + 1, cap, start, end)
+    first = 2 * (n + len(quotas)) + 1
+    flow: list[dict[int, int]] = [{} for _ in patterns]
+    for k, (p, s) in enumerate(links):
+        flow[p][s] = cap[first + 2 * k]
     return flow
 
 
@@ -112,10 +138,13 @@ def mix_sources(docs: DataFrame, sources: Column | None = None, weights=(5, 2, 1
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns: group sources first")
     names = sorted({s for r in sums for s in r.sources}, key=lambda s: (s is None, (s or "").encode()))
     at = {s: i for i, s in enumerate(names)}
-    sizes = [sum(r.words for r in sums if s in r.sources) for s in names]
+    sizes = [0] * len(names)
+    for r in sums:
+        for s in set(r.sources):
+            sizes[at[s]] += r.words
     total = sum(r.words for r in sums)
     targets = share_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], limit) if total else [0.0] * len(names)
-    flow = min_cost_flow([(r.words, sorted(at[s] for s in r.sources)) for r in sums], [int(t + 0.5) for t in targets], limit)
+    flow = min_cost_flow([(r.words, sorted({at[s] for s in r.sources})) for r in sums], [int(t + 0.5) for t in targets], limit)
     plan = []
     for r, f in zip(sums, flow, strict=True):
         sent, first = sum(f.values()), at[r.sources[0]] if r.sources else 0
