@@ -1,10 +1,15 @@
 """Corpus operators on small tables: brute force, round trips, held-out accuracy and odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +60,22 @@ def test_exact_dedup(spark, odd, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.drop_exact_duplicates(empty).count() == 0
 
 
+def test_ids_at_both_ends_of_long(spark):
+    """Batches follow the ids' order, however far apart and however skewed they are."""
+    line = "a line that is certainly longer than forty letters"
+    low, high = -(2**63), 2**63 - 1
+    ids = [low, low + 1, -5, 0, 1, 2, 3, 4, high - 1, high, None]
+    df = spark.createDataFrame([(i, f"{line}\nown {n % 4}", "en", "a", 1) for n, i in enumerate(ids)], DOCS)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(df, n_batches=3).collect()}
+    for n, i in enumerate(ids):
+        mates = [x for m, x in enumerate(ids) if m % 4 == n % 4]
+        assert got[i] == (max(x for x in mates if x is not None), len(mates))
+    kept = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(df).collect()}
+    assert {i for i, t in kept.items() if line in t} == {high}
+    spark_ids = [i for b in range(4) for i in [r.doc_id for r in df.where(common.descending_batch(df, 4) == b).collect()]]
+    assert len(spark_ids) == len(ids) and [i for i in spark_ids if i is not None and i > 4] == [high - 1, high] or spark_ids[0] >= high - 1
+
+
 def test_index_persists(spark):
     index = exact_dedup.DigestIndex(spark, buckets=3)
     make = lambda ids: spark.createDataFrame([(f"d{i % 4}", i, i) for i in ids], "digest string, doc_id long, row long")
@@ -166,6 +187,20 @@ def test_ngram_join_of_long_documents(spark):
     assert {x.doc_id: x.component_id for x in got} == want and 3 < len(set(want.values())) < 27
 
 
+def test_tree_memory_is_bounded():
+    """One very large set among many small ones: fewer groups of counts, the same links."""
+    r = np.random.default_rng(2)
+    make = lambda n: np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+    sets = [make(200_000), *[make(40) for _ in range(1019)]]
+    sets += [sets[5][:-2], sets[700][1:], sets[0][:-9000], sets[9]]
+    tracemalloc.start()
+    tree = ngram_join.CountTree(list(range(len(sets))), sets, list(range(len(sets))), 85)
+    links = {tuple(sorted(x)) for x in tree.run()}
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert links == {(5, 1020), (700, 1021), (0, 1022), (9, 1023)}
+
+
 def test_ngram_join_odd_rows(spark, odd, empty):
     assert ngram_join.near_duplicates(odd).count() == 10
     kept = ngram_join.drop_near_duplicates(odd)
@@ -193,6 +228,41 @@ def test_flow_prefers_first_copies():
     assert sum(flow[0].values()) + sum(flow[1].values()) == 35 and flow[1][1] == 10 and max(map(sum, (f.values() for f in flow))) <= 30
 
 
+def least_cost(patterns, quotas, layers):
+    """By trying all flows: the most words, then the least cost."""
+    edges = [(p, s) for p, (_, own) in enumerate(patterns) for s in own]
+    best = (0, 0)
+    for flow in itertools.product(*[range(layers * patterns[p][0] + 1) for p, _ in edges]):
+        used, sent = [0] * len(patterns), [0] * len(quotas)
+        for (p, s), f in zip(edges, flow):
+            used[p] += f
+            sent[s] += f
+        if all(u <= layers * n for u, (n, _) in zip(used, patterns)) and all(x <= q for x, q in zip(sent, quotas)):
+            best = min(best, (-sum(used), sum(k // patterns[p][0] + 1 for p, u in enumerate(used) for k in range(u))))
+    return best
+
+
+def test_flow_is_the_cheapest():
+    r = random.Random(8)
+    for _ in range(60):
+        patterns = [(r.randrange(3), sorted(r.sample(range(3), r.randrange(1, 3)))) for _ in range(3)]
+        quotas = [r.randrange(5) for _ in range(3)]
+        flow = mixing.min_cost_flow(patterns, quotas, 2)
+        used = [sum(f.values()) for f in flow]
+        assert all(sum(f.get(s, 0) for f in flow) <= q for s, q in enumerate(quotas)) and all(u <= 2 * n for u, (n, _) in zip(used, patterns))
+        assert (-sum(used), sum(k // patterns[p][0] + 1 for p, u in enumerate(used) for k in range(u))) == least_cost(patterns, quotas, 2)
+
+
+def test_flow_of_many_patterns_is_quick():
+    r = random.Random(9)
+    patterns = [(r.randrange(1, 1000), sorted(r.sample(range(40), r.randrange(1, 5)))) for _ in range(200_000)]
+    total = sum(n for n, _ in patterns)
+    began = time.process_time()
+    flow = mixing.min_cost_flow(patterns, [total // 20 * (1 + s % 3) // 2 for s in range(40)])
+    assert time.process_time() - began < 60
+    assert sum(sum(f.values()) for f in flow) == sum(total // 20 * (1 + s % 3) // 2 for s in range(40))
+
+
 def test_mix(spark, odd, empty):
     df = table(spark, [" ".join(words(i, 5 + i % 40)) for i in range(400)])
     a, b = (sorted(mixing.mix_sources(df).drop("sources").collect()) for _ in range(2))
@@ -221,27 +291,50 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.scan_licenses(odd).count() == 10 and license_scan.scan_licenses(empty).count() == 0
 
 
+def best_windows(text):
+    """The share of each template in the best window of words, where it is enough."""
+    ws, out = [w for w in re.split(license_scan.NOT_WORD, text.translate(AZ)) if w], {}
+    for k, (_, notice) in enumerate(license_scan.TEMPLATES):
+        own, span = license_scan.template_words(notice), license_scan.window_words(notice, 0.8)
+        n = max((len(set(ws[i : i + span]) & set(own)) for i in range(len(ws))), default=0)
+        if n >= license_scan.words_needed(own, 0.8):
+            out[k] = n / len(own)
+    return out
+
+
 def test_license_join_is_brute_force(spark):
     r = random.Random(4)
     pool = sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.template_words(t)}) + ["other", "words"]
-    texts = ["\n".join(" ".join(r.sample(license_scan.template_words(r.choice(license_scan.TEMPLATES)[1]), 4) + r.sample(pool, r.randrange(25))) for _ in range(3)) for _ in range(60)]
-    got = {(x.doc_id, b.line, b.template) for x in license_scan.scan_licenses(table(spark, texts)).collect() for b in x.blocks or []}
-    want = set()
-    for d, t in enumerate(texts, 1):
-        lines = [line.split() for line in t.split("\n")]
-        for n, line in enumerate(lines):
-            block = set(line) if len(line) > license_scan.WRAPPED else {w for x in lines[n : n + license_scan.SPAN] if len(x) <= license_scan.WRAPPED for w in x}
-            want |= {(d, n, k) for k, (_, tpl) in enumerate(license_scan.TEMPLATES) if len(block & set(ws := license_scan.template_words(tpl))) >= license_scan.words_needed(ws, 0.8)}
-    assert got == want and want
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(r.randrange(4)):
+            notice = license_scan.TEMPLATES[r.randrange(len(license_scan.TEMPLATES))][1].split()
+            for _ in range(r.randrange(4)):  # words lost, put in, exchanged
+                notice[(at := r.randrange(len(notice))) : at + r.randrange(2)] = r.choice([[], [r.choice(pool)]])
+            parts += [*(r.choice(pool) for _ in range(r.randrange(60))), *notice]
+        texts.append("".join(w + r.choice([" ", " ", "\n", ", ", "\n\n * "]) for w in parts))
+    got = {}
+    for x in license_scan.scan_licenses(table(spark, texts)).collect():
+        for b in x.blocks or []:
+            got[x.doc_id, b.template] = max(b.share, got.get((x.doc_id, b.template), 0))
+    want = {(d, k): share for d, t in enumerate(texts, 1) for k, share in best_windows(t).items()}
+    assert got == want and len({k for _, k in want}) == len(license_scan.TEMPLATES)
 
 
 def test_wrapped_notices(spark):
-    notice = license_scan.TEMPLATES[1][1].split()
-    wrapped = "Some text.\n" + "\n".join(" * " + " ".join(notice[i : i + 6]) for i in range(0, len(notice), 6))
-    texts = [wrapped, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met:",
-             "Licensed under\n" + "long " * 30 + "\nCC BY-NC\n4.0.", "\n\n".join(notice)]
-    got = [(r.labels, round(r.score, 2)) for r in license_scan.scan_licenses(table(spark, texts)).orderBy("doc_id").collect()]
-    assert got == [("mit", 1.0), ("bsd", 1.0), ("cc-by-nc", 1.0), ("", 0.0)]
+    """Notices wrapped at any number of words, with marks before each line, and such as start or end inside long lines."""
+    texts, want = [], []
+    for label, notice in license_scan.TEMPLATES:
+        ws = notice.split()
+        for n in range(1, 21):
+            texts.append("Some text.\n" + "\n".join(" * " + " ".join(ws[i : i + n]) for i in range(0, len(ws), n)))
+            texts.append("long " * 30 + " ".join(ws[:n]) + "\n" + " ".join(ws[n:]) + " line" * 30)
+            want += [label, label]
+    texts += ["long " * 30 + "\nCC BY-NC\n4.0.", ("filler " * 9).join(license_scan.TEMPLATES[1][1].split())]
+    got = [(r.labels, r.score) for r in license_scan.scan_licenses(table(spark, texts)).orderBy("doc_id").collect()]
+    assert all(label in x.split(",") and score == 1.0 for label, (x, score) in zip(want, got[:-2], strict=True))
+    assert got[-2:] == [("", 0.0), ("", 0.0)]
 
 
 # --- archives -----------------------------------------------------------------------------------------------------
