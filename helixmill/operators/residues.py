@@ -37,12 +37,23 @@ def group_small_molecules(atoms: DataFrame) -> DataFrame:
     return islands(atoms, ["structure_id", "mol_class"], ["atom_number"], "res_number", "molecule")
 
 
-def assemble_residues(atoms: DataFrame, least: dict[str, int] = LEAST_ATOMS) -> DataFrame:
-    """Consecutive atoms of one residue number form a residue; those with too few atoms go.  Adds res_index from 0."""
+def _residue_runs(atoms: DataFrame, least: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Atoms with the number of their run, and the runs that are residues, numbered from 0 within a chain."""
     kept = islands(atoms.where("coalesce(altloc, '') NOT IN ('B', 'C', 'D')") if "altloc" in atoms.columns else atoms, CHAIN, ["atom_number"], "res_number", "run")
     counts = kept.groupBy(*CHAIN, "run").agg(F.count("*").alias("n_atoms"), F.min_by("res_number", "atom_number").alias("res_number"), F.min_by("res_type", "atom_number").alias("res_type"), F.min("atom_number").alias("first_atom"), F.max("atom_number").alias("last_atom"))
     counts = counts.withColumn("code", residue_code(F.col("res_type"))).where(F.col("n_atoms") >= lookup(least, F.col("code")))
-    return counts.withColumn("res_index", (F.row_number().over(Window.partitionBy(*CHAIN).orderBy("run")) - 1).cast("long")).drop("run")
+    return kept, counts.withColumn("res_index", (F.row_number().over(Window.partitionBy(*CHAIN).orderBy("run")) - 1).cast("long"))
+
+
+def assemble_residues(atoms: DataFrame, least: dict[str, int] = LEAST_ATOMS) -> DataFrame:
+    """Consecutive atoms of one residue number form a residue; those with too few atoms go.  Adds res_index from 0."""
+    return _residue_runs(atoms, least)[1].drop("run")
+
+
+def numbered_atoms(atoms: DataFrame, least: dict[str, int] = LEAST_ATOMS) -> DataFrame:
+    """The atoms of those residues, with their res_index and code."""
+    kept, runs = _residue_runs(atoms, least)
+    return kept.drop("res_index", "code").join(runs.select(*CHAIN, "run", "res_index", "code"), [*CHAIN, "run"]).drop("run")
 
 
 def residue_codes(residues: DataFrame) -> DataFrame:
