@@ -1,4 +1,4 @@
-"""Spatial joins: absolute grids whose cells are as wide as the cutoff, 27 cells probed on one side, exact distances last."""
+"""Spatial joins: absolute grids whose cells are as wide as the cutoff, neighbouring cells probed on one side, exact distances last."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.functions.lineage import settle
 from helixmill.functions.lookups import ACCEPTORS, BOND, DONORS, HYDROPHOBICITY, atom_radius, bond_limit, lookup
 from helixmill.operators.residues import CHAIN, RESIDUE
 
@@ -30,9 +31,60 @@ def join_within(left: DataFrame, right: DataFrame, cutoff: float, keys: list[str
     return a.join(b, [*keys, "cx", "cy", "cz"]).drop("cx", "cy", "cz").withColumn("dist", dist).where(F.col("dist").between(least, cutoff))
 
 
+#: A cell and the half of its 26 neighbours that come after it: each pair of cells meets once.
+_HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+
+
+def pairs_once(points: DataFrame, cutoff: float, keys: list[str], least: float = 0.0) -> DataFrame:
+    """Pairs of different points of equal keys at distance least..cutoff, once each with id_a < id_b.
+
+    Every point goes to its own cell and to the 13 that come after it, so a pair is met and measured once.
+    """
+    cols = [c for c in points.columns if c not in keys]
+    at = [F.floor(F.col(c) / cutoff).cast("int").alias(f"c{c}") for c in "xyz"]
+    a = points.select(*keys, F.struct(*cols).alias("p"), *at)
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s)]) for s in _HALF]))
+    b = points.select(*keys, F.struct(*cols).alias("q"), *at, step.alias("s"))
+    b = b.select(*keys, "q", *[(F.col(f"c{c}") + F.col(f"s.{c}")).alias(f"c{c}") for c in "xyz"], (F.col("s.x") + F.col("s.y") + F.col("s.z") + F.abs("s.x") + F.abs("s.y") + F.abs("s.z") == 0).alias("here"))
+    near = a.join(b, [*keys, "cx", "cy", "cz"])
+    dist = F.sqrt(sum((F.col(f"p.{c}") - F.col(f"q.{c}")) * (F.col(f"p.{c}") - F.col(f"q.{c}")) for c in "xyz"))
+    near = near.where("p.id < q.id OR (NOT here AND p.id <> q.id)").withColumn("dist", dist).where(F.col("dist").between(least, cutoff))
+    first = F.col("p.id") < F.col("q.id")
+    low, high = F.when(first, F.col("p")).otherwise(F.col("q")), F.when(first, F.col("q")).otherwise(F.col("p"))
+    near = near.select(*keys, low.alias("a"), high.alias("b"), "dist")
+    return near.select(*keys, *[F.col(f"a.{c}").alias(f"{c}_a") for c in cols], *[F.col(f"b.{c}").alias(f"{c}_b") for c in cols], "dist")
+
+
 def pairs_within(points: DataFrame, cutoff: float, keys: list[str], least: float = 0.0) -> DataFrame:
-    """Ordered pairs of different points (column id) of equal keys."""
-    return join_within(points, points, cutoff, keys, least).where("id_a <> id_b")
+    """Ordered pairs of different points (column id) of equal keys: both directions of pairs_once."""
+    once = pairs_once(points, cutoff, keys, least)
+    cols = [c for c in points.columns if c not in keys]
+    turn = lambda a, b: F.struct(*[F.col(f"{c}_{a}").alias(f"{c}_a") for c in cols], *[F.col(f"{c}_{b}").alias(f"{c}_b") for c in cols])
+    both = once.select(*keys, "dist", F.explode(F.array(turn("a", "b"), turn("b", "a"))).alias("t"))
+    return both.select(*keys, "t.*", "dist")
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """left(keys, id, x, y, z, ..) with near_id and dist of the nearest point of right(keys, id, x, y, z) of equal keys; of equal distances the least id.
+
+    Exact, without a largest distance: the 27 cells around a point show every point within a cell's width, so a nearest one that is not farther closes the
+    search; the points left over go on with cells twice as wide.  A point without any of its keys on the right has nulls; ids are unique within their keys on the left.
+    """
+    has = right.select(*keys).distinct()
+    lone = left.join(has, keys, "left_anti").withColumns({"near_id": F.lit(None).cast(right.schema["id"].dataType), "dist": F.lit(None).cast("double")})
+    found, open_ = lone, settle(left.join(has, keys, "left_semi"))
+    targets = right.select(*keys, F.col("id").alias("near_id"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
+    while True:
+        probes = cells(open_.select(*keys, "id", "x", "y", "z"), width, probe=True)
+        at = targets.withColumns({f"c{c}": F.floor(F.col(f"n{c}") / width).cast("int") for c in "xyz"})
+        dist = F.sqrt(sum((F.col(c) - F.col(f"n{c}")) * (F.col(c) - F.col(f"n{c}")) for c in "xyz"))
+        best = probes.join(at, [*keys, "cx", "cy", "cz"]).groupBy(*keys, "id").agg(F.min(F.struct(dist.alias("dist"), "near_id")).alias("best"))
+        seen = settle(open_.join(best, [*keys, "id"], "left").select(*left.columns, "best.near_id", "best.dist"))
+        found = found.unionByName(seen.where(F.col("dist") <= width))
+        open_ = seen.where((F.col("dist") > width) | F.col("dist").isNull()).select(*left.columns)
+        if open_.isEmpty():
+            return found
+        width *= 2
 
 
 def overlaps(atoms: DataFrame, probe: float = 1.4, other_radius: float = 1.7) -> DataFrame:
@@ -90,7 +142,7 @@ def contact_scores(residues: DataFrame, cutoff: float = 10.0) -> DataFrame:
     chain of every candidate of i that is closer than j, of 1 - exp(-d^2/4), d the foot distance on the segment between side chains.
     """
     p = residues.select(*CHAIN, F.col("res_index").alias("id"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), *[F.col(c).alias(f"c{n}") for c, n in zip("xyz", ("ax", "ay", "az"))])
-    pairs = pairs_within(p, cutoff, CHAIN).where("id_a < id_b AND dist > 0")
+    pairs = pairs_once(p, cutoff, CHAIN).where("dist > 0")
     names = {"id_a": "i", "id_b": "j", **{f"{c}_{s}": f"s{s}_{c}" for c in "xyz" for s in "ab"}, **{f"ca{c}_{s}": f"c{s}_{c}" for c in "xyz" for s in "ab"}}
     pairs = pairs.withColumnsRenamed(names)
     own = _shield(_foot("ca")) * _shield(_foot("cb"))
