@@ -121,11 +121,12 @@ def sp14(spark, d):
 CONS = PEAKS + """,
 base AS (SELECT idx AS peak, x AS peak_x FROM peaks WHERE spectrum_id = 0),
 hit AS (SELECT peak, spectrum_id, idx, x, y, row_number() OVER (PARTITION BY peak, spectrum_id ORDER BY abs(x - peak_x), idx) AS k FROM base JOIN peaks ON abs(x - peak_x) <= 120.0),
-agreed AS (SELECT peak, spectrum_id, idx, x, y FROM hit WHERE k = 1 AND peak IN (SELECT peak FROM hit WHERE k = 1 GROUP BY peak HAVING count(*) = (SELECT count(DISTINCT spectrum_id) FROM peaks)))"""
+agreed AS (SELECT peak, spectrum_id, idx, x, y FROM hit WHERE k = 1 AND peak IN (SELECT peak FROM hit WHERE k = 1 GROUP BY peak HAVING count(*) >= 0.6 * (SELECT count(DISTINCT spectrum_id) FROM peaks)))"""
 
 
 def _agreed(spark, d) -> DataFrame:
-    return P.consensus(_peaks(spark, d), 120.0)
+    """Peaks of the first spectrum that three in five spectra have."""
+    return P.consensus(_peaks(spark, d), 120.0, share=0.6)
 
 
 @query("sp15_consensus_peaks", CONS, "SELECT peak, spectrum_id, idx FROM agreed")
@@ -205,6 +206,35 @@ def sp22r(spark, d):
     return rounded(P.model_residual(_model(spark, d)), "rms", digits=3)
 
 
+def _shape_sql(name: str, height: str) -> str:
+    return f"""{name} AS (SELECT s.spectrum_id, s.idx, any_value(s.y) AS y, coalesce(sum({height}), 0) AS model
+  FROM spectra s LEFT JOIN tops p ON s.spectrum_id = p.spectrum_id AND abs(s.x - p.x) < 0.12 * p.x GROUP BY ALL)"""
+
+
+_BELL = "({h}) / (sqrt(2 * pi()) * ({w})) * exp(-(((s.x - p.x) / ({w}))**2) / 2)"
+SHAPED = PEAKS + """,
+tops AS (SELECT peaks.*, max_x FROM peaks JOIN (SELECT spectrum_id, max(x) AS max_x FROM spectra GROUP BY 1) USING (spectrum_id)),
+""" + ",\n".join((
+    _shape_sql("gaussian", _BELL.format(w="p.x / 476", h="0.54 * p.y + p.y * p.x / 223.6")),
+    _shape_sql("cauchy", "CASE WHEN p.y <> 0 THEN power(abs(1 / (0.05 * p.y)), 3) / (pi() * (power(abs(0.27 / (0.05 * p.y)), 6.56) + power(abs(s.x - p.x), 1.97))) ELSE 0 END"),
+    _shape_sql("doubled", _BELL.format(w="p.x / 787.58", h="5.01 * p.y + p.y * power(p.x, 1 - 0.1 * p.x / max_x) / 822.81") + " + " + _BELL.format(w="p.x / 152.29", h="-12.49 * p.y + p.y * power(p.x, 1 + 0.1 * p.x / max_x) / 249.53")),
+))
+
+
+@query("sp22s_shape_residuals", SHAPED, "SELECT shape, spectrum_id, round(sqrt(avg((y - model)**2)), 3) AS rms FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS shape, * FROM {t}" for n, t in (("gaussian", "gaussian"), ("cauchy", "cauchy"), ("double gaussian", "doubled"))) + ") GROUP BY ALL")
+def sp22s(spark, d):
+    """How far each shape's first approximation is from the spectra."""
+    out = [P.model_residual(P.modelled(_spectra(spark, d), _peaks(spark, d), shape)).withColumn("shape", F.lit(shape)) for shape in P.SHAPES]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]), "rms", digits=3)
+
+
+@query("sp23s_fitted_shapes")
+def sp23s(spark, d):
+    """Parameters of double gaussian peaks, region by region."""
+    s, p = _spectra(spark, d), _peaks(spark, d)
+    return P.fit_shapes(P.modelled(s, p, "double gaussian"), p, "double gaussian").select("spectrum_id", "idx", F.transform("parameters", lambda v: F.round(v, 3)).alias("parameters"), F.round("rms", 3).alias("rms"))
+
+
 @query("sp23_fitted_heights")
 def sp23(spark, d):
     return rounded(P.fit_heights(_model(spark, d), _peaks(spark, d)), "height", digits=3)
@@ -221,14 +251,22 @@ def sp24(spark, d):
 
 
 def _assoc_sql(name: str, added: float) -> str:
-    return f"{name} AS (SELECT * FROM (SELECT p.spectrum_id, p.idx, p.x, p.y, m.fragment_id, row_number() OVER (PARTITION BY p.spectrum_id, m.fragment_id ORDER BY abs(p.x - (m.mass + {added})), p.idx) AS k FROM peaks p JOIN masses m ON abs(p.x - (m.mass + {added})) < 0.0005 * (m.mass + {added})) WHERE k = 1)"
+    return f"{name} AS (SELECT * FROM (SELECT p.spectrum_id, p.idx, p.x, p.y, m.fragment_id, row_number() OVER (PARTITION BY p.spectrum_id, m.fragment_id ORDER BY abs(p.x - (m.mass + {added})), p.idx) AS k FROM peaks p JOIN digests m ON m.spectrum_id = p.spectrum_id AND abs(p.x - (m.mass + {added})) < 0.003 * (m.mass + {added})) WHERE k = 1)"
+
+
+DIGESTS = """,
+digests AS (SELECT fragment_id, mass, fragment_id % (SELECT max(spectrum_id) + 1 FROM spectra) AS spectrum_id FROM masses)"""
+ASSOC = PEAKS + MS + DIGESTS + ",\n" + _assoc_sql("plain", 0.0) + ",\n" + _assoc_sql("modified", 45.0)
 
 
-ASSOC = PEAKS + MS + ",\n" + _assoc_sql("plain", 0.0) + ",\n" + _assoc_sql("modified", 45.0)
+def _digests(spark, d) -> DataFrame:
+    """Every mass as a fragment of one spectrum's sample."""
+    n = _spectra(spark, d).agg((F.max("spectrum_id") + 1).alias("n"))
+    return _masses(spark, d).join(F.broadcast(n), F.lit(True)).withColumn("spectrum_id", F.col("fragment_id") % F.col("n")).drop("n")  # n: one row
 
 
 def _associated(spark, d, added: float) -> DataFrame:
-    return P.associate(_peaks(spark, d), _masses(spark, d), 0.0005, added)
+    return P.associate(_peaks(spark, d), _digests(spark, d), 0.003, added)
 
 
 @query("sp25_association", ASSOC, "SELECT 'plain' AS form, spectrum_id, fragment_id, idx FROM plain UNION ALL SELECT 'modified', spectrum_id, fragment_id, idx FROM modified")
