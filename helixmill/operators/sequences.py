@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,35 +20,48 @@ def letters(seq: Column) -> Column:
     return F.split(seq, "")
 
 
+def cuts_of(cells: Column, protease: str, cut_after: bool = False) -> Column:
+    """[0], the positions of the protease's residues among these letters, [their number]."""
+    wanted, stop, last_too = PROTEASES[protease]
+    n = F.size(cells)
+
+    def cut(c: Column, i: Column) -> Column:
+        inner = (i != n - 1) & ~F.coalesce(F.get(cells, i + 1).isin(*stop), F.lit(False)) if stop else i != n - 1
+        return F.when(c.isin(*wanted) & (inner | (i == n - 1) if last_too else inner), i + 1 if cut_after else i)
+
+    return F.concat(F.array(F.lit(0)), F.array_compact(F.transform(cells, cut)), F.array(n))
+
+
 def cut_sites(seq: Column, protease: str = "trypsin", cut_after: bool = False) -> Column:
     """[0], the positions of the protease's residues, [length].  A fragment starts with the residue unless cut_after."""
-    wanted, stop, last_too = PROTEASES[protease]
-    n = F.length(seq)
-    at = lambda i: F.substring(seq, i + 1, F.lit(1))
+    return F.when(F.length(seq) > 0, cuts_of(letters(seq), protease, cut_after)).otherwise(F.array(F.lit(0), F.length(seq)))
+
 
-    def cuts(i: Column) -> Column:
-        hit = at(i).isin(*wanted)
-        inner = (i != n - 1) & ~at(i + 1).isin(*stop) if stop else i != n - 1
-        return hit & (inner | (i == n - 1) if last_too else inner)
+#: Masses by place in the alphabet; other letters weigh nothing.
+_MASSES = [float(RESIDUE_MASS.get(chr(65 + k), 0.0)) for k in range(26)]
 
-    sites = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), cuts)).otherwise(F.array().cast("array<int>"))
-    if cut_after:
-        sites = F.transform(sites, lambda i: i + 1)
-    return F.concat(F.array(F.lit(0)), sites, F.array(n))
+
+def letter_mass(c: Column) -> Column:
+    return F.coalesce(F.get(F.lit(_MASSES), F.ascii(c) - 65), F.lit(0.0))
 
 
 def sequence_mass(seq: Column) -> Column:
-    return F.aggregate(letters(seq), F.lit(WATER_MASS), lambda acc, c: acc + F.coalesce(lookup(RESIDUE_MASS, c), F.lit(0.0)))
+    return F.aggregate(letters(seq), F.lit(WATER_MASS), lambda acc, c: acc + letter_mass(c))
 
 
 def fragments(sequences: DataFrame, misses: int = 1, protease: str = "trypsin", cut_after: bool = False) -> DataFrame:
-    """(doc_id, first, last, n_missed, weight): all half-open pairs of sites at most ``misses`` sites apart, within one row."""
-    d = sequences.select("doc_id", "seq", cut_sites(F.col("seq"), protease, cut_after).alias("sites"))
-    steps = F.transform(letters(F.col("seq")), lambda c: F.coalesce(lookup(RESIDUE_MASS, c), F.lit(0.0)))
-    d = d.withColumn("masses", steps)
-    # weights go into the pairs before these become rows, which then carry no array of masses
-    weight = lambda s, t: F.aggregate(F.slice("masses", s + 1, t - s), F.lit(WATER_MASS), lambda a, m: a + m)
-    pairs = F.flatten(F.transform("sites", lambda s, i: F.transform(F.slice("sites", i + 2, F.lit(misses)), lambda t, k: F.struct(s.alias("first"), t.alias("last"), k.alias("n_missed"), weight(s, t).alias("weight")))))
+    """(doc_id, first, last, n_missed, weight): all half-open pairs of sites at most ``misses`` sites apart, within one row.
+
+    Each piece between neighbouring sites is weighed once; a fragment adds up the pieces it is made of.
+    """
+    d = sequences.where("seq IS NOT NULL").select("doc_id", F.when(F.length("seq") > 0, letters(F.col("seq"))).otherwise(F.array().cast("array<string>")).alias("cells"))
+    d = d.select("doc_id", "cells", cuts_of(F.col("cells"), protease, cut_after).alias("sites"))
+    piece = lambda s, i: F.aggregate(F.slice("cells", s + 1, F.get("sites", i + 1) - s), F.lit(0.0), lambda m, c: m + letter_mass(c))
+    pieces = F.transform(F.slice("sites", F.lit(1), F.size("sites") - 1), lambda s, i: F.struct(s.alias("first"), piece(s, i).alias("mass")))
+    d = d.select("doc_id", "sites", pieces.alias("pieces"))
+    weight = lambda i, k: F.aggregate(F.slice("pieces", i + 1, k + 1), F.lit(WATER_MASS), lambda m, p: m + p["mass"])
+    ends = lambda i: F.slice("sites", i + 2, F.lit(misses))
+    pairs = F.flatten(F.transform("pieces", lambda p, i: F.transform(ends(i), lambda t, k: F.struct(p["first"].alias("first"), t.alias("last"), k.alias("n_missed"), weight(i, k).alias("weight")))))
     d = d.select("doc_id", F.explode(pairs).alias("p"))
     return d.select("doc_id", F.col("p.first").cast("long").alias("first"), F.col("p.last").cast("long").alias("last"), F.col("p.n_missed").cast("long").alias("n_missed"), F.col("p.weight").alias("weight"))
 
@@ -59,13 +73,13 @@ def within_mass(left: DataFrame, right: DataFrame, tolerance: float, left_mass:
     return left.withColumn("_bin", bin_of(left_mass)).join(probes, "_bin").drop("_bin").where(F.abs(F.col(left_mass) - F.col(right_mass)) <= tolerance)
 
 
-def within_resolution(left: DataFrame, right: DataFrame, resolution: float, left_mass: str = "x", right_mass: str = "mass", strict: bool = True) -> DataFrame:
-    """Pairs with abs(left - right) < resolution * right: bins of the logarithm, neighbours probed, then the exact test."""
+def within_resolution(left: DataFrame, right: DataFrame, resolution: float, left_mass: str = "x", right_mass: str = "mass", strict: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (of equal keys) with abs(left - right) < resolution * right: bins of the logarithm, neighbours probed, then the exact test."""
     bin_of = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1e-9))) / (2 * resolution)).cast("long")
     probes = right.withColumn("_bin", F.explode(F.array(*[bin_of(right_mass) + k for k in (-1, 0, 1)])))
     d = F.abs(F.col(left_mass) - F.col(right_mass))
     test = d < resolution * F.col(right_mass) if strict else d <= resolution * F.col(right_mass)
-    return left.withColumn("_bin", bin_of(left_mass)).join(probes, "_bin").drop("_bin").where(test)
+    return left.withColumn("_bin", bin_of(left_mass)).join(probes, [*keys, "_bin"]).drop("_bin").where(test)
 
 
 def nearest_fragments(frags: DataFrame, masses: list[float], k: int) -> DataFrame:
@@ -109,17 +123,33 @@ def default_scores() -> dict[str, float]:
     return {a + b: 1.0 if a == b else 0.6 if kind[a] == kind[b] else 0.3 for a in kind for b in kind}
 
 
-def score_table(spark, scores: dict[str, float] | None = None) -> DataFrame:
-    return spark.createDataFrame([(k[0], k[1], float(v)) for k, v in (scores or default_scores()).items()], "la string, lb string, s double")
+def scored_letters(scores: dict[str, float] | None) -> list[str]:
+    return sorted({c for pair in scores or default_scores() for c in pair})
+
+
+def _mean_pair_score(counts: Column, n: Column, scores: dict[str, float] | None) -> Column:
+    """Mean score over all pairs of n letters, from the counts of those that have scores: (n'Sn - the letters with themselves) / 2 over the pairs; null for one letter."""
+    table, letters_ = scores or default_scores(), scored_letters(scores)
+    known = lambda a, b: table.get(a + b, table.get(b + a))
+    away = [[(v - UNKNOWN if (v := known(a, b)) is not None else 0.0) for b in letters_] for a in letters_]  # what a pair has above an unknown one
+    rows = F.from_json(F.lit(json.dumps(away)), "array<array<double>>")
+    own = F.from_json(F.lit(json.dumps([r[i] for i, r in enumerate(away)])), "array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    twice = dot(F.transform(rows, lambda r: dot(r, counts)), counts) - dot(own, counts)
+    return F.when(n > 1, F.lit(UNKNOWN) + twice / (n * (n - 1)))
 
 
 def column_conservation(cells: DataFrame, scores: dict[str, float] | None = None) -> DataFrame:
-    """Mean score over all pairs of sequences of a column, from letter counts; pairs without a score count 6/15; a column of one sequence has none."""
-    n = cells.groupBy("aln_id", "col", "letter").agg(F.count("*").alias("n"))
-    pair = n.select("aln_id", "col", F.col("letter").alias("la"), F.col("n").alias("na")).join(n.select("aln_id", "col", F.col("letter").alias("lb"), F.col("n").alias("nb")), ["aln_id", "col"]).where("la <= lb")
-    pair = pair.join(F.broadcast(score_table(cells.sparkSession, scores)), ["la", "lb"], "left")  # a row per pair of letters
-    times = F.when(F.col("la") == F.col("lb"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
-    return pair.where(times > 0).groupBy("aln_id", "col").agg((F.sum(times * F.coalesce("s", F.lit(UNKNOWN))) / F.sum(times)).alias("score"))
+    """Mean score over all pairs of sequences of a column, from letter counts in one aggregation; pairs without a score count 6/15; a column of one sequence has none."""
+    n = cells.groupBy("aln_id", "col").agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(F.col("letter") == c, F.lit(False))).alias(f"n_{i}") for i, c in enumerate(scored_letters(scores))])
+    n = n.select("aln_id", "col", "n", F.array(*[F.col(f"n_{i}").cast("double") for i in range(len(scored_letters(scores)))]).alias("counts"))
+    return n.select("aln_id", "col", _mean_pair_score(F.col("counts"), F.col("n"), scores).alias("score")).where("score IS NOT NULL")
+
+
+def string_conservation(column: Column, scores: dict[str, float] | None = None) -> Column:
+    """The same of a column given as a string of letters."""
+    counts = F.array(*[(F.length(column) - F.length(F.replace(column, F.lit(c), F.lit("")))).cast("double") for c in scored_letters(scores)])
+    return _mean_pair_score(counts, F.length(column), scores)
 
 
 def normalized(residues: DataFrame, score: str, least: float = 0.05, skip: Column | None = None) -> DataFrame:

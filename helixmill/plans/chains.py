@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import lookups as L
+from helixmill.functions.lineage import new_path, settle
 from helixmill.operators import align as A
 from helixmill.operators import residues as R
 from helixmill.operators import sequences as Q
 from helixmill.operators import spatial as S
+from helixmill.operators import study as T
 from helixmill.plans.registry import query, rounded
 from helixmill.plans.structures import CLASSED, LIGAND, _dist, _map, _near  # noqa: F401
+from helixmill.sources import files as I
 from helixmill.sources import fixtures as X
 
 MODS = (("acetyl", "K", 42.01), ("nitro", "YW", 45.0), ("dtnb", "C", 197.0), ("carbodiimide", "DE", 155.2))
@@ -176,17 +179,53 @@ def sq19(spark, d):
     return rounded(Q.smooth_shielded(s, X.neighbors(spark, d), without=Q.bad_loops(s)), "smooth", digits=6)
 
 
-@query("sq20_conservation_study", SCORED + NEAR, """
-, line AS (SELECT structure_id, chain_id, res_index, sum(score) OVER w AS s, count(*) OVER w AS n FROM scored WINDOW w AS (PARTITION BY structure_id, chain_id ORDER BY res_index ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
-u AS (SELECT * FROM line UNION ALL SELECT structure_id, chain_id, res_index, score, 1 FROM scored UNION ALL
-  SELECT e.structure_id, e.chain_id, e.i, r.score, 1 FROM neighbors e JOIN scored r ON r.structure_id = e.structure_id AND r.chain_id = e.chain_id AND r.res_index = e.j WHERE r.asa >= 0.05),
-m AS (SELECT structure_id, chain_id, res_index, sum(s) / sum(n) AS v FROM u GROUP BY ALL)
-SELECT a.structure_id, a.chain_id, count(*) FILTER (asa - system_asa > 0.05) AS n_interface, round(avg(v) FILTER (asa - system_asa > 0.05), 4) AS interface_score, round(avg(v), 4) AS exposed_score FROM scored a JOIN m USING (structure_id, chain_id, res_index) WHERE asa >= 0.05 GROUP BY ALL""")
+STUDY_LETTERS = ("structure_id * 31 + res_index * 7", "structure_id * 7 + res_index * 11", "structure_id * 3 + res_index * res_index", "structure_id * 31 + res_index * (res_index % 3)")
+_OF = "PARTITION BY structure_id, chain_id"
+_FACE = "asa - system_asa > 0.05"
+
+
+def _study_sql() -> str:
+    """The study's deterministic part: seven normalised scores of exposed residues, the interface's number and mean."""
+    letters = ", ".join(f"substr('{X.LETTERS}', (({e}) % 20 + 1)::INT, 1)" for e in STUDY_LETTERS)
+    touch = "EXISTS (SELECT 1 FROM lig l WHERE l.structure_id = r.structure_id AND l.chain_id = r.chain_id AND l.res_index = r.res_index)"
+    loop = "EXISTS (SELECT 1 FROM bad b WHERE b.structure_id = r.structure_id AND b.chain_id = r.chain_id AND b.res_index = r.res_index)"
+    shielded = lambda name, skip: f"""{name} AS (SELECT structure_id, chain_id, res_index, sum(s) / sum(n) AS v FROM (SELECT * FROM line UNION ALL SELECT structure_id, chain_id, res_index, score, 1 FROM scored UNION ALL
+  SELECT e.structure_id, e.chain_id, e.i, r.score, 1 FROM neighbors e JOIN scored r ON r.structure_id = e.structure_id AND r.chain_id = e.chain_id AND r.res_index = e.j WHERE r.asa >= 0.05 {skip}) GROUP BY ALL)"""
+    of = lambda name, table: f"SELECT '{name}' AS score, structure_id, chain_id, res_index, v FROM {table}"
+    return f"""
+, letters AS (SELECT structure_id, chain_id, res_index, [{letters}] AS ls FROM accessibility),
+own AS (SELECT structure_id, chain_id, res_index, avg(coalesce(s, 6.0 / 15)::DOUBLE) AS score FROM (SELECT l.*, ls[i] AS la, ls[j] AS lb FROM letters l CROSS JOIN (VALUES (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)) p(i, j)) x LEFT JOIN scores ON scores.la = x.la AND scores.lb = x.lb GROUP BY ALL),
+scored AS MATERIALIZED (SELECT a.*, score, CASE WHEN res_index % 12 < 4 THEN 'A' WHEN res_index % 12 < 9 THEN 'C' ELSE 'B' END AS ss FROM accessibility a JOIN own USING (structure_id, chain_id, res_index)){NORM}{LOOPS[len(NORM):]}{NEAR}{LIG},
+line AS (SELECT structure_id, chain_id, res_index, sum(score) OVER w AS s, count(*) OVER w AS n FROM scored WINDOW w AS ({_OF} ORDER BY res_index ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+line_mean AS (SELECT structure_id, chain_id, res_index, s / n AS v FROM line),
+sphere AS (SELECT a.structure_id, a.chain_id, a.res_index, avg(b.score) AS v FROM scored a JOIN scored b ON a.structure_id = b.structure_id AND a.chain_id = b.chain_id AND (a.res_index = b.res_index OR {_dist('a', 'b')} <= 6.0) GROUP BY ALL),
+{shielded('ms', '')}, {shielded('ms_active', 'AND NOT ' + touch)}, {shielded('ms_loop', 'AND NOT ' + loop)},
+own_v AS (SELECT structure_id, chain_id, res_index, score AS v FROM scored),
+every AS (SELECT e.*, starts_with(e.score, 'noactsit') AND {touch} AS skip FROM ({' UNION ALL '.join((of('0D', 'own_v'), of('1D', 'line_mean'), of('3D', 'sphere'), of('ms3D', 'ms'), of('noactsit_0D', 'own_v'), of('noactsit_ms3D', 'ms_active'), of('nobadloop_ms3D', 'ms_loop')))}) e JOIN scored r USING (structure_id, chain_id, res_index)),
+good AS (SELECT e.score, e.structure_id, e.chain_id, res_index, v, {_FACE} AS face FROM every e JOIN accessibility USING (structure_id, chain_id, res_index) WHERE asa >= 0.05 AND NOT skip),
+scaled AS (SELECT *, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END AS norm FROM (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM good WINDOW w AS (PARTITION BY score, structure_id, chain_id)))
+SELECT structure_id, chain_id, score, count(*) AS k, round(avg(norm), 4) AS mean FROM scaled WHERE face GROUP BY ALL"""
+
+
+@query("sq20_conservation_study", SCORES_SQL + ",\n" + X.ACCESSIBILITY, _study_sql())
 def sq20(spark, d):
-    """Shielded scores of interface residues against all exposed ones, by chain."""
-    r = S.differential(_scored(spark, d)).where("asa >= 0.05").join(Q.smooth_shielded(_scored(spark, d), X.neighbors(spark, d)), R.RESIDUE)
-    face = F.col("interface") == -1
-    return rounded(r.groupBy(*R.CHAIN).agg(F.count_if(face).alias("n_interface"), F.avg(F.when(face, F.col("smooth"))).alias("interface_score"), F.avg("smooth").alias("exposed_score")), "interface_score", "exposed_score")
+    """A study in two runs, the second of which only works on the structures that the first didn't have."""
+    a = X.atoms(spark, d).withColumn("occupancy", F.lit(1.0)).withColumn("last", F.max("res_index").over(Window.partitionBy("structure_id")))
+    lines = a.select("structure_id", F.col("atom_number").alias("line_no"), I.atom_line().alias("line"), (F.col("res_index") == F.col("last")).alias("ligand"))
+    # the last residue of a structure stands once more, as its ligand
+    lines = lines.select("structure_id", "line_no", "line").unionByName(lines.where("ligand").select("structure_id", (F.col("line_no") + 10**6).alias("line_no"), F.concat(F.lit("HETATM"), F.substring("line", 7, 11), F.lit("LIG"), F.expr("substr(line, 21)")).alias("line")))
+    # a file counts residues from 0 in every chain
+    from_0 = lambda df, *cols: df.join(X.residues(spark, d).groupBy(*R.CHAIN).agg(F.min("res_index").alias("low")), R.CHAIN).withColumns({c: F.col(c) - F.col("low") for c in cols}).drop("low")
+    letters = F.concat(*[F.expr(f"substr('{X.LETTERS}', cast(({e}) % 20 + 1 as int), 1)") for e in STUDY_LETTERS])
+    asa = settle(from_0(_scored(spark, d).withColumn("column", letters), "res_index"))
+    study = T.Study(
+        spark, new_path(spark, "study"), draws=200, least=dict.fromkeys(L.LEAST_ATOMS, 1), accessibility=asa, edges=settle(from_0(X.neighbors(spark, d), "i", "j")), secondary=asa)
+    columns = asa.select(*R.RESIDUE, "column")
+    lines = settle(lines)
+    study.run(lines.where("structure_id % 2 = 0"), columns)
+    study.run(lines, columns)
+    out = study.table("significance")
+    return rounded(out.select("structure_id", "chain_id", F.regexp_replace("score", "^score_", "").alias("score"), "k", "mean"), "mean")
 
 
 STUDY = "study AS (SELECT l_suppkey AS study, 'chain ' || l_returnflag || ' ' || l_linestatus || '_score (' || l_linenumber || ' residues - 0.5) wins ' || (l_partkey % 101) || ' percent of the time' AS value FROM lineitem)"
@@ -237,9 +276,15 @@ def sq9(spark, d):
 
 @query("sq10_homology_filter")
 def sq10(spark, d):
-    """All sequences of the whole texts against all, either one as the target."""
-    s = X.whole_sequences(spark, d).select("id", "seq")
-    return A.homologous_pairs(s, s)
+    """The different sequences of the whole texts whose document's id is divisible by 20, against all: pairs of over 80% identity.
+
+    Equal sequences are one class, named by its least id; copies_a and copies_b count the members.
+    """
+    s = X.whole_sequences(spark, d)
+    classes = settle(s.groupBy("seq").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.bool_or(F.expr("doc_id % 20 = 0")).alias("asked")))
+    hits = A.homologous_pairs(classes.where("asked"), classes, least=0.8)
+    copies = lambda side: classes.select(F.col("id").alias(f"id_{side}"), F.col("copies").alias(f"copies_{side}"))
+    return hits.join(copies("a"), "id_a").join(copies("b"), "id_b").select("id_a", "id_b", "copies_a", "copies_b", "n_columns", "n_same", "identity")
 
 
 @query("sq12_transferred_columns")
