@@ -52,7 +52,8 @@ def sequence_mass(seq: Column) -> Column:
 def fragments(sequences: DataFrame, misses: int = 1, protease: str = "trypsin", cut_after: bool = False) -> DataFrame:
     """(doc_id, first, last, n_missed, weight): all half-open pairs of sites at most ``misses`` sites apart, within one row.
 
-    Each piece between neighbouring sites is weighed once; a fragment adds up the pieces it is made of.
+    Each piece between neighbouring sites is weighed once; a fragment adds up the pieces it is made of.  Weights are rounded to six digits, so that
+    they don't depend on the order of the sum.
     """
     d = sequences.where("seq IS NOT NULL").select("doc_id", F.when(F.length("seq") > 0, letters(F.col("seq"))).otherwise(F.array().cast("array<string>")).alias("cells"))
     d = d.select("doc_id", "cells", cuts_of(F.col("cells"), protease, cut_after).alias("sites"))
@@ -63,7 +64,7 @@ def fragments(sequences: DataFrame, misses: int = 1, protease: str = "trypsin",
     ends = lambda i: F.slice("sites", i + 2, F.lit(misses))
     pairs = F.flatten(F.transform("pieces", lambda p, i: F.transform(ends(i), lambda t, k: F.struct(p["first"].alias("first"), t.alias("last"), k.alias("n_missed"), weight(i, k).alias("weight")))))
     d = d.select("doc_id", F.explode(pairs).alias("p"))
-    return d.select("doc_id", F.col("p.first").cast("long").alias("first"), F.col("p.last").cast("long").alias("last"), F.col("p.n_missed").cast("long").alias("n_missed"), F.col("p.weight").alias("weight"))
+    return d.select("doc_id", F.col("p.first").cast("long").alias("first"), F.col("p.last").cast("long").alias("last"), F.col("p.n_missed").cast("long").alias("n_missed"), F.round("p.weight", 6).alias("weight"))
 
 
 def within_mass(left: DataFrame, right: DataFrame, tolerance: float, left_mass: str = "weight", right_mass: str = "mass") -> DataFrame:

@@ -40,7 +40,7 @@ def _sites(wanted: str, stop: str, last: bool) -> str:
 
 SITES = X.SEQUENCES + ",\n" + _sites("RK", "P", True)
 FRAGS = SITES + f""",
-frags AS (SELECT doc_id, s[a::INT] AS first, s[b::INT] AS last, b - a - 1 AS n_missed, 18.0 + coalesce(list_sum(list_transform(string_split(substr(seq, s[a::INT]::INT + 1, (s[b::INT] - s[a::INT])::INT), ''), lambda c: coalesce({_map(L.RESIDUE_MASS, 'c')}, 0)::DOUBLE)), 0) AS weight
+frags AS (SELECT doc_id, s[a::INT] AS first, s[b::INT] AS last, b - a - 1 AS n_missed, round(18.0::DOUBLE + coalesce(list_sum(list_transform(string_split(substr(seq, s[a::INT]::INT + 1, (s[b::INT] - s[a::INT])::INT), ''), lambda c: coalesce({_map(L.RESIDUE_MASS, 'c')}, 0)::DOUBLE)), 0), 6) AS weight
   FROM (SELECT *, unnest(range(a + 1, least(a + 2, len(s)) + 1)) AS b FROM (SELECT *, unnest(range(1, len(s) + 1)) AS a FROM sites)))"""
 
 

@@ -36,7 +36,7 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ATOMS = f"""
-atoms AS (
+atoms AS MATERIALIZED (
   SELECT structure_id, atom_number, res_index, atom_type, x, y, z, b_factor, CASE WHEN res_index < 40 THEN 'A' ELSE 'B' END AS chain_id, res_index + 1 AS res_number, code,
     map([{', '.join(repr(c) for c in CODE_RESIDUE)}], [{', '.join(repr(r) for r in CODE_RESIDUE.values())}])[code] AS res_type
   FROM (SELECT *, substr('{LETTERS}', ((structure_id * 31 + res_index * 7) % 20 + 1)::INT, 1) AS code FROM (
