@@ -75,28 +75,40 @@ class Splitter:
 
 
 class Batch:
-    """Documents as codes into the batch's distinct words, the most frequent first."""
+    """Documents as codes into the batch's distinct words, the most frequent first.
+
+    A piece of a word is never cut again, so only words of two pieces need an entry of their own besides their pieces'."""
 
     def __init__(self):
-        self.ids, self.docs, self.code, self.known, self.chars = [], [], {}, {}, 0
+        self.ids, self.docs, self.code, self.cut, self.chars = [], [], {}, {}, 0
 
     def add(self, doc_id, text: str, words: list[str]) -> None:
-        known, code, out = self.known, self.code, []
+        cut, code, out = self.cut, self.code, []
         for w in words:
-            codes = known.get(w)
+            one = code.get(w)
+            if one is not None:
+                out.append(one)
+                continue
+            codes = cut.get(w)
             if codes is None:
-                codes = known[w] = tuple([code.setdefault(p, len(code)) for p in pieces_of(w)])
+                codes = tuple([code.setdefault(p, len(code)) for p in pieces_of(w)])
+                if len(codes) > 1:
+                    cut[w] = codes
             out += codes
         self.ids.append(doc_id)
         self.docs.append(np.array(out, np.uint32))
         self.chars += len(text)
 
     def finish(self, part: int) -> tuple[int, list, list[np.ndarray], list[str]]:
+        self.cut.clear()
         order = np.argsort(-np.bincount(np.concatenate(self.docs), minlength=len(self.code)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         names = list(self.code)
-        docs, words = [rank[d] for d in self.docs], [names[i] for i in order.tolist()]
+        self.code.clear()  # what is handed on should not be held twice
+        for k, d in enumerate(self.docs):
+            self.docs[k] = rank[d]
+        docs, words = self.docs, [names[i] for i in order.tolist()]
         h = xxhash.xxh3_64(repr((part, self.ids)).encode())
         for d in docs:
             h.update(d.tobytes())
