@@ -200,7 +200,7 @@ def bad_loops(residues: DataFrame, least_length: int = 3, limit: float = 0.25) -
     runs = islands(residues, CHAIN, ["res_index"], "ss", "run")
     w = Window.partitionBy(*CHAIN, "run")
     runs = runs.withColumn("size", F.count("*").over(w)).withColumn("mean", F.avg("norm").over(w))
-    return runs.where((F.col("ss") == "C") & (F.col("size") >= least_length) & (F.col("mean") < limit)).select(*RESIDUE)
+    return runs.where((F.col("ss") == "C") & (F.col("size") >= least_length) & (F.round("mean", 9) < limit)).select(*RESIDUE)
 
 
 def study_summary(lines: DataFrame, easy: float = 100.0, hard: float = 30.0) -> DataFrame:

@@ -170,7 +170,7 @@ def sq18(spark, d):
 
 LOOPS = NORM + """,
 runs AS (SELECT *, sum(ch) OVER (PARTITION BY structure_id, chain_id ORDER BY res_index) AS run FROM (SELECT *, CASE WHEN ss IS NOT DISTINCT FROM lag(ss) OVER (PARTITION BY structure_id, chain_id ORDER BY res_index) THEN 0 ELSE 1 END AS ch FROM norm)),
-bad AS (SELECT structure_id, chain_id, res_index FROM (SELECT *, count(*) OVER w AS size, avg(norm) OVER w AS mean FROM runs WINDOW w AS (PARTITION BY structure_id, chain_id, run)) WHERE ss = 'C' AND size >= 3 AND mean < 0.25)"""
+bad AS (SELECT structure_id, chain_id, res_index FROM (SELECT *, count(*) OVER w AS size, avg(norm) OVER w AS mean FROM runs WINDOW w AS (PARTITION BY structure_id, chain_id, run)) WHERE ss = 'C' AND size >= 3 AND round(mean, 9) < 0.25)"""
 
 
 @query("sq19_no_bad_loop", SCORED + NEAR + LOOPS, _shielded_sql("AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.structure_id = r.structure_id AND bad.chain_id = r.chain_id AND bad.res_index = r.res_index)"))
@@ -204,7 +204,7 @@ own_v AS (SELECT structure_id, chain_id, res_index, score AS v FROM scored),
 every AS (SELECT e.*, starts_with(e.score, 'noactsit') AND {touch} AS skip FROM ({' UNION ALL '.join((of('0D', 'own_v'), of('1D', 'line_mean'), of('3D', 'sphere'), of('ms3D', 'ms'), of('noactsit_0D', 'own_v'), of('noactsit_ms3D', 'ms_active'), of('nobadloop_ms3D', 'ms_loop')))}) e JOIN scored r USING (structure_id, chain_id, res_index)),
 good AS (SELECT e.score, e.structure_id, e.chain_id, res_index, v, {_FACE} AS face FROM every e JOIN accessibility USING (structure_id, chain_id, res_index) WHERE asa >= 0.05 AND NOT skip),
 scaled AS (SELECT *, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END AS norm FROM (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM good WINDOW w AS (PARTITION BY score, structure_id, chain_id)))
-SELECT structure_id, chain_id, score, count(*) AS k, round(avg(norm), 4) AS mean FROM scaled WHERE face GROUP BY ALL"""
+SELECT structure_id, chain_id, score, count(*) AS k, round(avg(norm), 6) AS mean FROM scaled WHERE face GROUP BY ALL"""
 
 
 @query("sq20_conservation_study", SCORES_SQL + ",\n" + X.ACCESSIBILITY, _study_sql())
@@ -225,7 +225,7 @@ def sq20(spark, d):
     study.run(lines.where("structure_id % 2 = 0"), columns)
     study.run(lines, columns)
     out = study.table("significance")
-    return rounded(out.select("structure_id", "chain_id", F.regexp_replace("score", "^score_", "").alias("score"), "k", "mean"), "mean")
+    return rounded(out.select("structure_id", "chain_id", F.regexp_replace("score", "^score_", "").alias("score"), "k", "mean"), "mean", digits=6)
 
 
 STUDY = "study AS (SELECT l_suppkey AS study, 'chain ' || l_returnflag || ' ' || l_linestatus || '_score (' || l_linenumber || ' residues - 0.5) wins ' || (l_partkey % 101) || ' percent of the time' AS value FROM lineitem)"
