@@ -2,8 +2,9 @@
 
 Every document's lines are hashed once.  Batches of documents are reduced to a row per line hash (number of documents,
 largest doc_id) and come from the largest doc_ids down.  A batch is merge-anti-joined with the runs: lines that no run
-holds enter with the doc_id whose copy stays, known ones only add to their line's count.  Both become a run on level 0.  Once a level has ``fanout`` runs they are compacted into one run of the next level.  Runs are tables
-bucketed and sorted by hash, so joins with them and their compaction read them bucket by bucket.
+holds enter with the doc_id whose copy stays, known ones only add to their line's count.  Both become a run on level 0.  Before a batch enters, levels of ``fanout`` runs are compacted into one run of the next level.  Runs are tables
+bucketed and sorted by hash, so joins with them and their compaction read them bucket by bucket.  Buckets follow the number of hashes, and no table is split by batch: where Spark
+has no native Hadoop library, each file and folder that a task makes costs a process (chmod), so small ones are dear.
 
 Defined results: a null or empty text is one empty line; a row with null doc_id counts as a document and its copy of a
 common line goes unless all are null (then all copies stay); rows that repeat doc_id and text are one document, and get the same
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import WS, ascii_lower, delete_path, descending_batch, discard, materialize, n_partitions, scratch, text_or_empty
 
 RUN = "h1 long, h2 long, n_docs long, max_doc long, is_new boolean"
+ROWS_PER_BUCKET = 100_000
 
 
 class LineRuns:
@@ -34,7 +36,8 @@ class LineRuns:
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         self.paths[name] = scratch(self.spark, name)
-        (df.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
+        # as many tasks as buckets, also where the session deals out to more
+        (df.repartition(self.buckets, "h1", "h2").coalesce(self.buckets).sortWithinPartitions("h1", "h2")
          .write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name, path=self.paths[name]))
         return name
 
@@ -46,6 +49,7 @@ class LineRuns:
 
         Where batches come in descending order of doc_id only those bring a max_doc; known hashes add to counts alone.
         """
+        self._compact()
         rest, old = batch.hint("merge"), []
         for run in self.runs():
             keys = run.select("h1", "h2")
@@ -53,9 +57,7 @@ class LineRuns:
             rest = rest.join(keys, ["h1", "h2"], "left_anti").hint("merge")
         rows = reduce(DataFrame.unionByName, [rest.withColumn("is_new", F.lit(True)), *old])
         self.levels[0].append(self._write(rows))
-        added = self.spark.table(self.levels[0][-1])
-        self._compact()
-        return added
+        return self.spark.table(self.levels[0][-1])
 
     def _compact(self) -> None:
         for level in range(len(self.levels)):
@@ -111,8 +113,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     batch = descending_batch(lines, n_batches).alias("batch")
     once = lines.select("h1", "h2", "doc_id", "text_hash").distinct()
     stats = once.groupBy(batch, "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-    stats = materialize(stats, "line-stats", "batch")
-    runs = LineRuns(spark)
+    stats = materialize(stats.sortWithinPartitions("batch"), "line-stats")
+    runs = LineRuns(spark, buckets=min(n_partitions(spark), stats.count() // ROWS_PER_BUCKET + 1))
     for b in range(n_batches):
         runs.add(stats.where(F.col("batch") == b).drop("batch"), descending=True)
     discard(stats)

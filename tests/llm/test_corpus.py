@@ -127,6 +127,30 @@ def test_runs_compact(spark):
     assert all(len(level) < 2 for level in runs.levels)
 
 
+def test_line_runs_make_few_files(spark, monkeypatch):
+    """No run is compacted after the last batch; few hashes share a bucket; the table of hashes has no folder a batch."""
+    texts = ["\n".join(" ".join(words(i % n, 12)) for n in (3, 7, 40)) for i in range(40)]
+    files = {}
+    write, materialize = line_dedup.LineRuns._write, line_dedup.materialize
+
+    def noted(df, name):
+        files[name] = df.inputFiles()
+        return df
+
+    def write_noted(self, df):
+        name = write(self, df)
+        noted(self.spark.table(name), name)
+        return name
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", write_noted)
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, *more: noted(materialize(df, name, *more), name))
+    got = {x.doc_id: x.kept_text for x in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert got == brute_lines(list(enumerate(texts, 1)))
+    runs = [f for n, f in files.items() if n.startswith("line_run_")]
+    assert len(runs) == 5 and all(len(f) == 1 for f in runs)
+    assert files["line-stats"] and not any("/batch=" in f for f in files["line-stats"])
+
+
 # --- n-gram join --------------------------------------------------------------------------------------------------
 def shingles(text, k):
     w = [x for x in re.split(r"[ \t\n\x0b\x0c\r]+", (text or "").translate(AZ)) if x]
