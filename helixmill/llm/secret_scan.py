@@ -91,8 +91,9 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(rest, F.lit(f"{TOKEN}{{{IDENTIFIER},}}"), F.lit(0))
     both = docs.select(F.explode(F.array(F.struct(F.lit(True).alias("random"), secret.alias("words")), F.struct(F.lit(False).alias("random"), words.alias("words")))).alias("s"))
     words = both.select("s.random", F.explode("s.words").alias("word")).where(F.rlike("word", F.lit("[A-Za-z]")))
-    pairs = words.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substr("word", i, F.lit(2)))).alias("pair"))
-    return pairs.groupBy("random", "pair").agg(F.count("*").alias("n"))
+    # places are exploded and pairs cut from them: Spark compiles that, while a lambda would make objects of every pair, which fill an executor's heap
+    places = words.select("random", "word", F.explode(F.sequence(F.lit(1), F.char_length("word") - 1)).alias("i"))
+    return places.groupBy("random", F.substr("word", F.col("i"), F.lit(2)).alias("pair")).agg(F.count("*").alias("n"))
 
 
 def pair_weights(counts: list[tuple[bool, str, int]]) -> list[int]:

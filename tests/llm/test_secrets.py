@@ -50,6 +50,18 @@ def test_pairs_are_counted_by_class(spark):
     assert got == want
 
 
+def test_pairs_are_cut_without_lambdas(spark):
+    """A lambda makes objects of every pair; places and substrings are compiled.  Repeated words count each time."""
+    df = table(spark, ["wordly abc-def abc-def " * 500 + "token=\"0123456789abcdef0123\"; " * 300] * 4)
+    want = {}
+    for r, w, n in ((False, "wordly", 2000), (False, "abc-def", 4000), (True, "0123456789abcdef0123", 1200)):
+        for pair in zip(w, w[1:]):
+            want[r, "".join(pair)] = want.get((r, "".join(pair)), 0) + n
+    counts = ss.pair_counts(df)
+    assert {(x.random, x.pair): x.n for x in counts.collect()} == want
+    assert "lambdafunction(substr" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_held_out_strings(spark):
     r = random.Random(4)
     syllables = ["ing", "the", "ver", "tion", "lich", "ment", "ous", "ar", "on", "_", "get", "Set", "Name"]
