@@ -2,12 +2,13 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.functions.lookups import HYDROGEN_RULES
+from helixmill.functions.lookups import HYDROGEN_RULES, HYDROPHOBICITY
 from helixmill.operators import align, classify, residues, sequences, spatial, spectra, surface
 from helixmill.sources import files
 
@@ -231,3 +232,29 @@ def test_deep_trees(spark):
     assert classify.closure(nodes).where("node_id = 8").count() == 9
     with pytest.raises(ValueError, match="levels"):
         classify.closure(nodes, depth=4)
+
+
+def test_domain_candidates_on_the_limit(spark):
+    """Residues whose mean equals the chain's limit stay, and those whose number equals theirs go, in whatever order the sums are taken."""
+    rng, codes = random.Random(7), sorted(HYDROPHOBICITY)
+    residues, edges, want = [], [], set()
+    for structure in range(300):
+        links, code, last = {}, {}, 0
+        for _ in range(rng.randint(3, 6)):  # stars: a center and its leaves
+            leaves = rng.choice((3, 6, 7))
+            links[last] = list(range(last + 1, last + leaves + 1))
+            links.update({leaf: [last] for leaf in links[last]})
+            last += leaves + 1
+        code = {i: rng.choice(codes) for i in links}
+        h = {i: sum(Fraction(HYDROPHOBICITY[code[i]] + HYDROPHOBICITY[code[j]], 2) for j in js) / len(js) for i, js in links.items()}
+        c = {i: sum(Fraction(len(js) + len(links[j]), 2) for j in js) / len(js) for i, js in links.items()}
+        sizes = [size for i in links if h[i] and (size := sum(h.values()) / 2 / h[i]).denominator == 1 and size >= last]
+        size = int(sizes[0]) if sizes else last
+        residues += [(structure, "A", i, code.get(i, "A")) for i in range(size)]
+        edges += [(structure, "A", i, j) for i, js in links.items() for j in js]
+        want |= {(structure, i) for i, js in links.items() if len(js) > Fraction(7, 10) * sum(c.values()) / size and h[i] >= sum(h.values()) / 2 / size}
+    rng.shuffle(edges)
+    r = spark.createDataFrame(residues, "structure_id long, chain_id string, res_index long, code string")
+    e = spark.createDataFrame(edges, "structure_id long, chain_id string, i long, j long")
+    got = spatial.domain_candidates(r, e, r.select("structure_id", "chain_id", "res_index", F.lit(1.0).alias("shielding")))
+    assert {(g.structure_id, g.res_index) for g in got.collect()} == want
