@@ -258,3 +258,13 @@ def test_domain_candidates_on_the_limit(spark):
     e = spark.createDataFrame(edges, "structure_id long, chain_id string, i long, j long")
     got = spatial.domain_candidates(r, e, r.select("structure_id", "chain_id", "res_index", F.lit(1.0).alias("shielding")))
     assert {(g.structure_id, g.res_index) for g in got.collect()} == want
+
+
+def test_side_chain_means_do_not_depend_on_the_order_of_rows(spark):
+    """Sums go by atom number, so that a side chain's end lies on its alpha carbon or not whatever order the rows come in."""
+    rng = random.Random(5)
+    rows = [(s, "A", 0, n, name, *[round(rng.uniform(0, 50), 3) for _ in "xyz"]) for s in range(100) for n, name in enumerate(("N", "CA", "C", "O", "CB", "CG", "SD", "H"))]
+    want = {s: tuple(((own[0][k] + own[1][k]) + own[2][k] + own[3][k]) / 4 for k in (5, 6, 7)) for s in range(100) for own in [[r for r in rows if r[0] == s and r[4] in ("C", "CB", "CG", "SD")]]}
+    rows.sort(key=lambda r: -r[3])
+    a = spark.createDataFrame(rows, "structure_id long, chain_id string, res_index long, atom_number long, atom_type string, x double, y double, z double").coalesce(1)
+    assert {r.structure_id: (r.sx, r.sy, r.sz) for r in residues.side_chain_means(a).collect()} == want
