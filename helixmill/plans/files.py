@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.lineage import new_path
 from helixmill.operators import spatial as S
+from helixmill.operators import sequences as Q
 from helixmill.plans.registry import query, rounded
 from helixmill.plans.structures import CONTACTS, DENSITY_SQL, HB, _bonds, _contacts
 from helixmill.sources import files as I
@@ -69,9 +70,7 @@ def io6(spark, d):
 
 @query("io9_alignment_columns", X.ALIGNMENTS, "SELECT aln_id, seq_idx, col, letter FROM cells")
 def io9(spark, d):
-    c = X.alignment_cells(spark, d)
-    cols = c.groupBy("aln_id", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_idx", "letter"))), lambda p: p["letter"]), "").alias("line"))
-    texts = cols.groupBy("aln_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "line"))), lambda p: p["line"]), "\n").alias("value"))
+    texts = Q.row_columns(X.alignment_rows(spark, d), X.PIECE).select("aln_id", F.array_join("columns", "\n").alias("value"))
     return I.parse_columns(texts)
 
 
